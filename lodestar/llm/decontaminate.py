@@ -12,7 +12,6 @@ pass through decontaminate() untouched.
 
 from __future__ import annotations
 
-import hashlib
 import re
 import uuid
 from collections.abc import Iterator
@@ -30,7 +29,7 @@ WINDOW = 13
 BLOCK_BYTES = 16 << 20
 
 _CLEAN = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")  # in the original, upper case too
 
 
 def normalised(text: str | None) -> list[bytes]:
