@@ -22,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bounded_broadcast, staged, table
 
 WINDOW = 13
 #: Bytes of item text that one automaton is built over; more items make more automata.
 BLOCK_BYTES = 16 << 20
+#: Rows up to which the keys of contaminated documents are broadcast.
+KEY_ROWS = 1 << 20
 
 _CLEAN = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")  # in the original, upper case too
@@ -138,10 +140,9 @@ def contaminated(n_hit: F.Column, n_words: F.Column) -> F.Column:
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, key: str = "doc_id") -> DataFrame:
-    """docs without the contaminated ones; rows whose key repeats are judged one by one by their text."""
-    cols = docs.columns
-    found = hits(docs.withColumn("__row", F.struct(*cols)), bench, key="__row")
-    return found.where(~contaminated(F.size("hit_words"), F.col("n_words"))).select("__row.*")
+    """docs without the contaminated ones (all rows of a key, if one of them is); a null key stays."""
+    bad = hits(docs, bench, key).where(contaminated(F.size("hit_words"), F.col("n_words"))).select(key).distinct()
+    return docs.join(bounded_broadcast(staged(bad, "contaminated"), KEY_ROWS), key, "left_anti")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -383,8 +383,11 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     Documents without words are linked with nothing and all stay.
     """
-    keep = near_duplicates(docs, key, text).where(F.col(key) == F.col("component_id")).select(key).distinct()
-    return docs.join(keep, key, "left_semi").dropDuplicates([key, text])
+    got = staged(near_duplicates(docs, key, text), "components")
+    drop = staged(got.where(F.col(key) != F.col("component_id")).select(key).distinct(), "dropped")
+    out = docs.join(bounded_broadcast(drop, BROADCAST_ROWS), key, "left_anti")
+    again = got.groupBy(key).count().where("count > 1").limit(1).count()
+    return out.dropDuplicates([key, text]) if again else out
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

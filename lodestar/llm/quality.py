@@ -245,7 +245,7 @@ def judged(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
 def classified(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """docs without those that the classifier rejects (all rows of a key, if it rejects one)."""
     bad = judged(docs, labels, key, text, lang).where("NOT keep").select(key).distinct()
-    return docs.join(bad, key, "left_anti")
+    return docs.join(bounded_broadcast(staged(bad, "rejected"), LABEL_ROWS), key, "left_anti")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
