@@ -1,12 +1,62 @@
-"""The corpus pipeline: stages that each apply one training-data operator to all documents their predecessor kept."""
+"""The corpus pipeline: stages that each apply one training-data operator to all documents their predecessor kept.
+
+Quality rejects documents; near-duplicate components keep the document of least
+identifier; contaminated documents go; personal data is replaced by its kind;
+at last sources are mixed, and each document tells how many of its words the mix
+takes. Nulls, empty tables and extra columns are handled as the operators state.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestar.llm import common, decontaminate, mixing, near_duplicates, pii, quality
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.classified(docs, common.table(spark, sf_dir, "labels"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_duplicates.deduplicated(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = pii.masked(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, with the words it takes of each (repeats counted) and its source's target."""
+    mix = mixing.mix(docs).groupBy("doc_id").agg(F.max("size").alias("size"), F.max("target").alias("target"), F.max("taken").alias("taken"))
+    return docs.join(mix.where("taken > 0"), "doc_id")
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontaminate", drop_contaminated),
+    ("personal_data", mask_personal_data),
+    ("mixing", mix_sources),
+]
 
-STAGES: list = []
-ORACLE_SQL = None
+ORACLE_SQL = None  # the quality model can't be said in SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents of sf_dir; each stage's rows are written and read again by the next."""
+    docs = common.table(spark, sf_dir, "documents")
+    where = f"{common.shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs.write.parquet(f"{where}/{i}-{name}")
+            docs = spark.read.parquet(f"{where}/{i}-{name}")
+    return docs
