@@ -45,7 +45,7 @@ BOUNDARIES = (4, 8, 12, 16, 24, 32, 48, 64)
 #: Rows up to which links or documents to fetch are broadcast; beyond it joins shuffle.
 BROADCAST_ROWS = 1 << 19
 #: Postings a task gathers before it deals them out.
-GATHER = 1 << 21
+GATHER = 1 << 20
 _SUB = np.uint64(0xD1342543DE82EF95)
 
 
@@ -179,10 +179,14 @@ def boundary(known: DataFrame, list_length: float) -> int:
 
 
 def postings(docs: DataFrame, text: str, k: int, heavy: tuple[np.ndarray, np.ndarray], small: int) -> DataFrame:
-    """Subset keys of small sets and first tokens of the others, dealt by key, with node and size."""
+    """Subset keys of small sets and first tokens of the others, dealt by key, with node, size and what follows.
+
+    What follows a token in its set's order (itself included) bounds the intersection
+    of a pair whose first common token it is.
+    """
     n, sent = shards(docs.sparkSession), docs.sparkSession.sparkContext.broadcast(heavy)
 
-    def keys_of(s: np.ndarray, hk: np.ndarray, hdf: np.ndarray) -> np.ndarray:
+    def keys_of(s: np.ndarray, hk: np.ndarray, hdf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if len(hk):
             at = np.searchsorted(hk, s >> np.uint64(16))
             at[at == len(hk)] = 0
@@ -196,27 +200,27 @@ def postings(docs: DataFrame, text: str, k: int, heavy: tuple[np.ndarray, np.nda
             head = s[: m - o + 2]
             i, j = np.triu_indices(len(head), 1)
             a, b = np.minimum(head[i], head[j]), np.maximum(head[i], head[j])
-            out.append(mix(a * _SUB + mix(b)))
+            out.append((mix(a * _SUB + mix(b)), np.full(len(a), m)))
         if m * DEN // NUM > small:
-            out.append(s[: m - o + 1])
-        return np.concatenate(out)
+            out.append((s[: m - o + 1], m - np.arange(m - o + 1)))
+        return np.concatenate([k for k, _ in out]), np.concatenate([r for _, r in out])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hk, hdf = sent.value
         seen: set[int] = set()
-        held: list[tuple[np.ndarray, int, int]] = []
+        held: list[tuple[np.ndarray, np.ndarray, int, int]] = []
         size = 0
 
         def deal() -> pa.RecordBatch:
             each = np.array([len(h[0]) for h in held])
-            return _deal(n, np.concatenate([h[0] for h in held]), [np.repeat(np.array([h[1] for h in held], np.int64), each), np.repeat(np.array([h[2] for h in held], "<u4"), each)])
+            return _deal(n, np.concatenate([h[0] for h in held]), [np.repeat(np.array([h[2] for h in held], np.int64), each), np.repeat(np.array([h[3] for h in held], "<u4"), each), np.concatenate([h[1] for h in held]).astype("<u4")])
 
         for batch in batches:
             for _, s in _sets(batch, k):
                 if len(s) < 4 or (d := digest(s)) in seen:
                     continue
                 seen.add(d)
-                held.append((keys_of(s, hk, hdf), d, len(s)))
+                held.append((*keys_of(s, hk, hdf), d, len(s)))
                 size += len(held[-1][0])
                 if size >= GATHER:
                     yield deal()
@@ -224,7 +228,7 @@ def postings(docs: DataFrame, text: str, k: int, heavy: tuple[np.ndarray, np.nda
         if held:
             yield deal()
 
-    return docs.select(F.lit(0).alias("key"), text).mapInArrow(run, "shard int, keys binary, c0 binary, c1 binary")
+    return docs.select(F.lit(0).alias("key"), text).mapInArrow(run, "shard int, keys binary, c0 binary, c1 binary, c2 binary")
 
 
 def lists(dealt: DataFrame) -> DataFrame:
@@ -232,39 +236,46 @@ def lists(dealt: DataFrame) -> DataFrame:
 
     kind 0: pairs (x, y) of short lists with how many lists have them; kind 1:
     the members (x: list, y: node) of longer lists; kind 2: in how many longer
-    lists a node (x) is. nx, ny: sizes.
+    lists a node (x) is. nx, ny: sizes. follow: of a pair, whether it passes in one
+    of its lists; of a member, what follows in its set.
     """
 
     def scan(group: pa.Table) -> pa.Table:
         keys = np.concatenate([unpack(v.as_py()) for v in group.column("keys")])
         node = np.concatenate([_unplanes(v.as_py(), "<i8") for v in group.column("c0")])
         size = np.concatenate([_unplanes(v.as_py(), "<u4") for v in group.column("c1")]).astype(np.int64)
+        rest = np.concatenate([_unplanes(v.as_py(), "<u4") for v in group.column("c2")]).astype(np.int64)
         order = np.lexsort((node, keys))
-        keys, node, size = keys[order], node[order], size[order]
+        keys, node, size, rest = keys[order], node[order], size[order], rest[order]
         new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (node[1:] != node[:-1])]) if len(keys) else np.zeros(0, bool)
-        keys, node, size = keys[new], node[new], size[new]
+        keys, node, size, rest = keys[new], node[new], size[new], rest[new]
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
         count = np.diff(np.append(first, len(keys)))
-        xs, ys, nxs, nys = [], [], [], []
+        xs, ys, nxs, nys, oks = [], [], [], [], []
         for c in range(2, PAIRS + 1):
             at = first[count == c]
             for i in range(c):
                 for j in range(i + 1, c):
                     xs.append(node[at + i]), ys.append(node[at + j]), nxs.append(size[at + i]), nys.append(size[at + j])
+                    oks.append(9 * np.minimum(rest[at + i], rest[at + j]) >= 4 * (size[at + i] + size[at + j]))
         empty = np.zeros(0, np.int64)
-        x, y, nx, ny = (np.concatenate(a) if a else empty for a in (xs, ys, nxs, nys))
+        x, y, nx, ny, ok = (np.concatenate(a).astype(np.int64) if a else empty for a in (xs, ys, nxs, nys, oks))
         near = (DEN * nx >= NUM * ny) & (DEN * ny >= NUM * nx)
-        x, y, nx, ny = x[near], y[near], nx[near], ny[near]
+        x, y, nx, ny, ok = x[near], y[near], nx[near], ny[near], ok[near]
         order = np.lexsort((y, x))
-        x, y, nx, ny = x[order], y[order], nx[order], ny[order]
+        x, y, nx, ny, ok = x[order], y[order], nx[order], ny[order], ok[order]
         start = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])) if len(x) else np.zeros(0, int)
         hits = np.diff(np.append(start, len(x)))
+        ok = np.maximum.reduceat(ok, start) if len(x) else ok
         x, y, nx, ny = x[start], y[start], nx[start], ny[start]
         big = np.flatnonzero(count > PAIRS)
-        # longer lists of the same members are one list
-        signs = {}
+        # longer lists of the same members are one list, in which each member has most to follow
+        signs: dict[int, int] = {}
         for b in big.tolist():
-            signs.setdefault(xxhash.xxh3_64_intdigest(node[first[b] : first[b] + count[b]].tobytes()) - (1 << 63), b)
+            own = slice(first[b], first[b] + count[b])
+            was = signs.setdefault(xxhash.xxh3_64_intdigest(node[own].tobytes()) - (1 << 63), b)
+            one = slice(first[was], first[was] + count[was])
+            rest[one] = np.maximum(rest[one], rest[own])
         member = [np.arange(first[b], first[b] + count[b]) for b in signs.values()]
         gid = np.repeat(np.array(list(signs), np.int64), [len(m) for m in member]) if member else empty
         member = np.concatenate(member) if member else empty
@@ -279,10 +290,11 @@ def lists(dealt: DataFrame) -> DataFrame:
                 "nx": np.concatenate([nx, zero(len(gid), np.int64), zero(len(inside), np.int64)]).astype(np.int64),
                 "ny": np.concatenate([ny, size[member], zero(len(inside), np.int64)]).astype(np.int64),
                 "hits": np.concatenate([hits, zero(len(gid), np.int64), times]).astype(np.int64),
+                "follow": np.concatenate([ok, rest[member], zero(len(inside), np.int64)]).astype(np.int64),
             }
         )
 
-    return dealt.groupBy("shard").applyInArrow(scan, "kind int, x long, y long, nx long, ny long, hits long")
+    return dealt.groupBy("shard").applyInArrow(scan, "kind int, x long, y long, nx long, ny long, hits long, follow long")
 
 
 def _packed5(s: np.ndarray) -> bytes:
@@ -344,10 +356,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     hk, hdf, least = _heavy_list(found)
     small = boundary(known, 1.0 + least / 4)
     got = staged(lists(postings(docs, text, k, (hk, hdf), small)), "lists")
-    long = got.where("kind = 1").groupBy(F.col("x").alias("gid"), F.col("y").alias("node")).agg(F.max("ny").alias("n"))
+    long = got.where("kind = 1").groupBy(F.col("x").alias("gid"), F.col("y").alias("node")).agg(F.max("ny").alias("n"), F.max("follow").alias("follow"))
     long = staged(long, "long")
     in_long = got.where("kind = 2").groupBy(F.col("x").alias("node")).agg(F.sum("hits").alias("more"))
-    pairs = got.where("kind = 0").groupBy("x", "y").agg(F.max("nx").alias("nx"), F.max("ny").alias("ny"), F.sum("hits").alias("hits"))
+    pairs = got.where("kind = 0").groupBy("x", "y").agg(F.max("nx").alias("nx"), F.max("ny").alias("ny"), F.sum("hits").alias("hits"), F.max("follow").alias("follow")).where("follow > 0")
     # shared first tokens (also those in longer lists) and the rest of the set bound the intersection
     pairs = pairs.join(in_long.withColumnsRenamed({"node": "x", "more": "mx"}), "x", "left").join(in_long.withColumnsRenamed({"node": "y", "more": "my"}), "y", "left")
     need = F.ceil(F.lit(4) * (F.col("nx") + F.col("ny")) / 9)
@@ -357,22 +369,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     check = lambda p: staged(verified(p, docs, key, text, where, k), "verified")
     # first each node with its least partner, and the members of a long list with one of them
     first = pairs.groupBy("y").agg(F.min("x").alias("x")).select("x", "y")
-    pivot = long.groupBy("gid").agg(F.min("node").alias("x"))
-    star = long.join(pivot, "gid").where("node <> x").groupBy(F.col("node").alias("y")).agg(F.min("x").alias("x")).select("x", "y")
+    fits = (DEN * F.col("n") >= NUM * F.col("nx")) & (DEN * F.col("nx") >= NUM * F.col("n")) & (9 * F.least("follow", "fx") >= 4 * (F.col("n") + F.col("nx")))
+    pivot = long.groupBy("gid").agg(F.min(F.struct("node", "n", "follow")).alias("p")).select("gid", F.col("p.node").alias("x"), F.col("p.n").alias("nx"), F.col("p.follow").alias("fx"))
+    star = long.join(pivot, "gid").where((F.col("node") != F.col("x")) & fits).groupBy(F.col("node").alias("y")).agg(F.min("x").alias("x")).select("x", "y")
     links = check(first.union(star))
-    while True:
-        comp = staged(components(links), "components")
-        label = lambda df, c: df.join(comp.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}")), c, "left").withColumn(f"c{c}", F.coalesce(f"c{c}", F.col(c)))
-        rest = label(label(pairs, "x"), "y").where("cx <> cy").select("x", "y")
-        members = label(long, "node").withColumnRenamed("cnode", "comp")
-        # only lists whose members are in several components can still link
-        open_ = members.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gid")
-        left = staged(members.join(open_, "gid", "left_semi"), "open")
-        a, b = (left.select("gid", F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("comp").alias(f"c{c}")) for c in "xy")
-        across = a.join(b, "gid").where((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & (DEN * F.col("nx") >= NUM * F.col("ny")) & (DEN * F.col("ny") >= NUM * F.col("nx"))).select("x", "y")
-        links = links.union(check(rest.union(across)))
-        comp = staged(components(links), "components")
-        break
+    comp = staged(components(links), "components")
+    label = lambda df, c: df.join(comp.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}")), c, "left").withColumn(f"c{c}", F.coalesce(f"c{c}", F.col(c)))
+    rest = label(label(pairs, "x"), "y").where("cx <> cy").select("x", "y")
+    members = label(long, "node").withColumnRenamed("cnode", "comp")
+    # only lists whose members are in several components can still link
+    open_ = members.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gid")
+    left = staged(members.join(open_, "gid", "left_semi"), "open")
+    a, b = (left.select("gid", F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("follow").alias(f"f{c}"), F.col("comp").alias(f"c{c}")) for c in "xy")
+    across = a.join(b, "gid").where((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & (DEN * F.col("nx") >= NUM * F.col("ny")) & (DEN * F.col("ny") >= NUM * F.col("nx")) & (9 * F.least("fx", "fy") >= 4 * (F.col("nx") + F.col("ny")))).select("x", "y")
+    links = links.union(check(rest.union(across)))
+    comp = staged(components(links), "components")
     named = known.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least_key = named.where("comp IS NOT NULL").groupBy("comp").agg(F.min("key").alias("first"))
     return named.join(least_key, "comp", "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("first", "key").alias("component_id"))
