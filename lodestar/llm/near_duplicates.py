@@ -44,6 +44,8 @@ HEAVY_FROM, HEAVY_MOST = 16, 1 << 20
 BOUNDARIES = (4, 8, 12, 16, 24, 32, 48, 64)
 #: Rows up to which links or documents to fetch are broadcast; beyond it joins shuffle.
 BROADCAST_ROWS = 1 << 19
+#: Turns in which long lists link their members to a drawn one, before all remaining pairs are met.
+TURNS = 2
 #: Postings a task gathers before it deals them out.
 GATHER = 1 << 20
 _SUB = np.uint64(0xD1342543DE82EF95)
@@ -373,16 +375,24 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     pivot = long.groupBy("gid").agg(F.min(F.struct("node", "n", "follow")).alias("p")).select("gid", F.col("p.node").alias("x"), F.col("p.n").alias("nx"), F.col("p.follow").alias("fx"))
     star = long.join(pivot, "gid").where((F.col("node") != F.col("x")) & fits).groupBy(F.col("node").alias("y")).agg(F.min("x").alias("x")).select("x", "y")
     links = check(first.union(star))
-    comp = staged(components(links), "components")
-    label = lambda df, c: df.join(comp.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}")), c, "left").withColumn(f"c{c}", F.coalesce(f"c{c}", F.col(c)))
-    rest = label(label(pairs, "x"), "y").where("cx <> cy").select("x", "y")
-    members = label(long, "node").withColumnRenamed("cnode", "comp")
-    # only lists whose members are in several components can still link
-    open_ = members.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gid")
-    left = staged(members.join(open_, "gid", "left_semi"), "open")
-    a, b = (left.select("gid", F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("follow").alias(f"f{c}"), F.col("comp").alias(f"c{c}")) for c in "xy")
-    across = a.join(b, "gid").where((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & (DEN * F.col("nx") >= NUM * F.col("ny")) & (DEN * F.col("ny") >= NUM * F.col("nx")) & (9 * F.least("fx", "fy") >= 4 * (F.col("nx") + F.col("ny")))).select("x", "y")
-    links = links.union(check(rest.union(across)))
+    for turn in range(TURNS + 1):
+        comp = staged(components(links), "components")
+        label = lambda df, c, comp=comp: df.join(comp.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}")), c, "left").withColumn(f"c{c}", F.coalesce(f"c{c}", F.col(c)))
+        members = label(long, "node").withColumnRenamed("cnode", "comp")
+        # only lists whose members are in several components can still link
+        open_ = members.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gid")
+        left = staged(members.join(open_, "gid", "left_semi"), "open")
+        if turn < TURNS:
+            # one member of each list, another each turn, draws in those near it: a large group of copies needs no pairs
+            draw = F.min(F.struct(F.xxhash64("node", "gid", F.lit(turn)), "node", "n", "follow", "comp")).alias("p")
+            pivot = left.groupBy("gid").agg(draw).select("gid", F.col("p.node").alias("x"), F.col("p.n").alias("nx"), F.col("p.follow").alias("fx"), F.col("p.comp").alias("cx"))
+            more = left.join(pivot, "gid").where((F.col("comp") != F.col("cx")) & fits).select(F.least("x", "node").alias("x"), F.greatest("x", "node").alias("y"))
+        else:
+            rest = label(label(pairs, "x"), "y").where("cx <> cy").select("x", "y")
+            a, b = (left.select("gid", F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("follow").alias(f"f{c}"), F.col("comp").alias(f"c{c}")) for c in "xy")
+            across = a.join(b, "gid").where((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & (DEN * F.col("nx") >= NUM * F.col("ny")) & (DEN * F.col("ny") >= NUM * F.col("nx")) & (9 * F.least("fx", "fy") >= 4 * (F.col("nx") + F.col("ny")))).select("x", "y")
+            more = rest.union(across)
+        links = staged(links.union(check(more)), "links")
     comp = staged(components(links), "components")
     named = known.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least_key = named.where("comp IS NOT NULL").groupBy("comp").agg(F.min("key").alias("first"))
