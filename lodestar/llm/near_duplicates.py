@@ -44,8 +44,10 @@ HEAVY_FROM, HEAVY_MOST = 16, 1 << 20
 BOUNDARIES = (4, 8, 12, 16, 24, 32, 48, 64)
 #: Rows up to which links or documents to fetch are broadcast; beyond it joins shuffle.
 BROADCAST_ROWS = 1 << 19
-#: Turns in which long lists link their members to a drawn one, before all remaining pairs are met.
-TURNS = 2
+#: 64-bit words of a sketch.
+WORDS = 16
+#: Most turns in which long lists link their members to a drawn one, before all remaining pairs are met.
+TURNS = 6
 #: Postings a task gathers before it deals them out.
 GATHER = 1 << 20
 _SUB = np.uint64(0xD1342543DE82EF95)
@@ -79,15 +81,30 @@ def digest(s: np.ndarray) -> int | None:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Parities of how many tokens fall on each of 64 * WORDS places: two sets differ in as many tokens, at least, as their sketches in bits."""
+    bits = np.bincount((s >> np.uint64(20)).astype(np.int64) % (64 * WORDS), minlength=64 * WORDS) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
+def _differ(a: str, b: str) -> F.Column:
+    """In how many bits two sketches differ."""
+    total = F.lit(0)
+    for i in range(WORDS):
+        total = total + F.bit_count(F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}")))
+    return total
+
+
 def classes(docs: DataFrame, key: str, text: str, k: int = K) -> DataFrame:
-    """key, n_shingles and the digest of its set (null if empty) for each document."""
+    """key, n_shingles, the digest of its set (null if empty) and its sketch for each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [(len(s), digest(s)) for _, s in _sets(batch, k)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64())], names=["key", "n", "node"])
+            got = [(len(s), digest(s), sketch(s)) for _, s in _sets(batch, k)]
+            words = np.concatenate([g[2] for g in got]).reshape(-1, WORDS) if got else np.zeros((0, WORDS), np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), *(pa.array(np.ascontiguousarray(words[:, i])) for i in range(WORDS))], names=["key", "n", "node", *(f"s{i}" for i in range(WORDS))])
 
-    return docs.select(key, text).mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, n long, node long")
+    return docs.select(key, text).mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, n long, node long, " + ", ".join(f"s{i} long" for i in range(WORDS)))
 
 
 def _planes(a: np.ndarray) -> bytes:
@@ -353,7 +370,10 @@ def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, where: Data
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K) -> DataFrame:
     """key, n_shingles, component_id (the least key of its component) for each row of docs."""
     known = staged(classes(docs, key, text, k), "classes")
-    where = known.where("n >= 4").groupBy("node").agg(F.min("key").alias("key"))
+    cols = [f"s{i}" for i in range(WORDS)]
+    one = known.where("n >= 4").groupBy("node").agg(F.min(F.struct("key", "n", *cols)).alias("o")).select("node", "o.*")
+    one = staged(one, "nodes")
+    where = one.select("node", "key")
     found = staged(heavy_tokens(docs, text, k), "tokens")
     hk, hdf, least = _heavy_list(found)
     small = boundary(known, 1.0 + least / 4)
@@ -368,33 +388,47 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     bound = F.col("hits") + F.least(F.coalesce("mx", F.lit(0)), F.coalesce("my", F.lit(0))) + F.ceil(F.greatest("nx", "ny") * F.lit(NUM) / DEN) - 1
     pairs = staged(pairs.where((F.greatest("nx", "ny") <= small) | (bound >= need)).select("x", "y"), "candidates")
 
-    check = lambda p: staged(verified(p, docs, key, text, where, k), "verified")
+    side = lambda c: one.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), *(F.col(v).alias(f"{c}{v}") for v in cols))
+    close = lambda a, b: 9 * _differ(f"{a}s", f"{b}s") <= F.col(f"n{a}") + F.col(f"n{b}")
+
+    def check(p: DataFrame) -> DataFrame:
+        """Sketches first, which drop no link, then whole sets."""
+        p = staged(p.select("x", "y").distinct(), "pairs")
+        likely = p.join(side("x"), "x").join(side("y"), "y").where(close("x", "y")).select("x", "y")
+        return staged(verified(likely, docs, key, text, where, k), "verified")
+
     # first each node with its least partner, and the members of a long list with one of them
     first = pairs.groupBy("y").agg(F.min("x").alias("x")).select("x", "y")
     fits = (DEN * F.col("n") >= NUM * F.col("nx")) & (DEN * F.col("nx") >= NUM * F.col("n")) & (9 * F.least("follow", "fx") >= 4 * (F.col("n") + F.col("nx")))
     pivot = long.groupBy("gid").agg(F.min(F.struct("node", "n", "follow")).alias("p")).select("gid", F.col("p.node").alias("x"), F.col("p.n").alias("nx"), F.col("p.follow").alias("fx"))
     star = long.join(pivot, "gid").where((F.col("node") != F.col("x")) & fits).groupBy(F.col("node").alias("y")).agg(F.min("x").alias("x")).select("x", "y")
     links = check(first.union(star))
-    for turn in range(TURNS + 1):
+    turn, last = 0, False
+    while True:
         comp = staged(components(links), "components")
         label = lambda df, c, comp=comp: df.join(comp.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}")), c, "left").withColumn(f"c{c}", F.coalesce(f"c{c}", F.col(c)))
         members = label(long, "node").withColumnRenamed("cnode", "comp")
         # only lists whose members are in several components can still link
         open_ = members.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gid")
         left = staged(members.join(open_, "gid", "left_semi"), "open")
-        if turn < TURNS:
+        if not last:
             # one member of each list, another each turn, draws in those near it: a large group of copies needs no pairs
             draw = F.min(F.struct(F.xxhash64("node", "gid", F.lit(turn)), "node", "n", "follow", "comp")).alias("p")
             pivot = left.groupBy("gid").agg(draw).select("gid", F.col("p.node").alias("x"), F.col("p.n").alias("nx"), F.col("p.follow").alias("fx"), F.col("p.comp").alias("cx"))
             more = left.join(pivot, "gid").where((F.col("comp") != F.col("cx")) & fits).select(F.least("x", "node").alias("x"), F.greatest("x", "node").alias("y"))
         else:
             rest = label(label(pairs, "x"), "y").where("cx <> cy").select("x", "y")
-            a, b = (left.select("gid", F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("follow").alias(f"f{c}"), F.col("comp").alias(f"c{c}")) for c in "xy")
-            across = a.join(b, "gid").where((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & (DEN * F.col("nx") >= NUM * F.col("ny")) & (DEN * F.col("ny") >= NUM * F.col("nx")) & (9 * F.least("fx", "fy") >= 4 * (F.col("nx") + F.col("ny")))).select("x", "y")
+            a, b = (left.select("gid", F.col("node").alias(c), F.col("follow").alias(f"f{c}"), F.col("comp").alias(f"c{c}")).join(side(c), c) for c in "xy")
+            across = a.join(b, "gid").where((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & (DEN * F.col("nx") >= NUM * F.col("ny")) & (DEN * F.col("ny") >= NUM * F.col("nx")) & (9 * F.least("fx", "fy") >= 4 * (F.col("nx") + F.col("ny"))) & close("x", "y")).select("x", "y")
             more = rest.union(across)
-        links = staged(links.union(check(more)), "links")
+        new = check(more)
+        links = staged(links.union(new), "links")
+        if last:
+            break
+        turn += 1
+        last = turn == TURNS or new.count() <= left.count() // 100
     comp = staged(components(links), "components")
-    named = known.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    named = known.select("key", "n", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least_key = named.where("comp IS NOT NULL").groupBy("comp").agg(F.min("key").alias("first"))
     return named.join(least_key, "comp", "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("first", "key").alias("component_id"))
 
