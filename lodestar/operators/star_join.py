@@ -19,7 +19,7 @@ class Dim:
     table: DataFrame
     key: str
     foreign: str
-    where: Column | None = None
+    where: Column | str | None = None
     columns: list[str] = field(default_factory=list)
     unique: bool = True
 

@@ -44,23 +44,21 @@ _add("count_rows", "SELECT count(*) AS cnt FROM lineorder WHERE lo_quantity < 25
 _add("agg_minmax_stats", "SELECT min(lo_orderdate) AS lo, max(lo_orderdate) AS hi FROM lineorder", lambda s: s.lineorder.agg(F.min("lo_orderdate").alias("lo"), F.max("lo_orderdate").alias("hi")))
 
 # filters
-_d = c("lo_discount")
-for _name, _op, _cond in (("eq", "=", _d == 5), ("ne", "<>", _d != 5), ("lt", "<", _d < 5), ("le", "<=", _d <= 5), ("gt", ">", _d > 5), ("ge", ">=", _d >= 5)):
-    _add(f"filter_{_name}", f"SELECT lo_orderkey, lo_discount FROM lineorder WHERE lo_discount {_op} 5", lambda s, cond=_cond: s.lineorder.where(cond).select("lo_orderkey", "lo_discount"))
+for _name, _op in (("eq", "="), ("ne", "<>"), ("lt", "<"), ("le", "<="), ("gt", ">"), ("ge", ">=")):
+    _add(f"filter_{_name}", f"SELECT lo_orderkey, lo_discount FROM lineorder WHERE lo_discount {_op} 5", lambda s, op=_op: s.lineorder.where(f"lo_discount {op} 5").select("lo_orderkey", "lo_discount"))
 _add("filter_col_col", "SELECT lo_orderkey, lo_revenue FROM lineorder WHERE lo_supplycost < lo_revenue", lambda s: s.lineorder_cost.where(c("lo_supplycost") < c("lo_revenue")).select("lo_orderkey", "lo_revenue"))
-_q = c("lo_quantity")
 _pick = lambda s, cond, *cols: s.lineorder.where(cond).select("lo_orderkey", *cols)
-_add("filter_and", "SELECT lo_orderkey, lo_discount FROM lineorder WHERE lo_discount >= 5 AND lo_quantity < 10", lambda s: _pick(s, (_d >= 5) & (_q < 10), "lo_discount"))
-_add("filter_or", "SELECT lo_orderkey, lo_discount FROM lineorder WHERE lo_discount >= 5 OR lo_quantity < 10", lambda s: _pick(s, (_d >= 5) | (_q < 10), "lo_discount"))
-_add("filter_nested_or", "SELECT lo_orderkey, lo_discount, lo_orderdate FROM lineorder WHERE lo_quantity < 10 AND (lo_discount = 1 OR lo_orderdate >= 20000101)", lambda s: _pick(s, (_q < 10) & ((_d == 1) | (c("lo_orderdate") >= 20000101)), "lo_discount", "lo_orderdate"))
-_add("filter_between", "SELECT lo_orderkey, lo_discount FROM lineorder WHERE lo_discount BETWEEN 4 AND 6", lambda s: _pick(s, _d.between(4, 6), "lo_discount"))
-_add("filter_half_open", "SELECT lo_orderkey, lo_discount FROM lineorder WHERE lo_discount > 4 AND lo_discount <= 6", lambda s: _pick(s, (_d > 4) & (_d <= 6), "lo_discount"))
+_add("filter_and", "SELECT lo_orderkey, lo_discount FROM lineorder WHERE lo_discount >= 5 AND lo_quantity < 10", lambda s: _pick(s, (c("lo_discount") >= 5) & (c("lo_quantity") < 10), "lo_discount"))
+_add("filter_or", "SELECT lo_orderkey, lo_discount FROM lineorder WHERE lo_discount >= 5 OR lo_quantity < 10", lambda s: _pick(s, (c("lo_discount") >= 5) | (c("lo_quantity") < 10), "lo_discount"))
+_add("filter_nested_or", "SELECT lo_orderkey, lo_discount, lo_orderdate FROM lineorder WHERE lo_quantity < 10 AND (lo_discount = 1 OR lo_orderdate >= 20000101)", lambda s: _pick(s, (c("lo_quantity") < 10) & ((c("lo_discount") == 1) | (c("lo_orderdate") >= 20000101)), "lo_discount", "lo_orderdate"))
+_add("filter_between", "SELECT lo_orderkey, lo_discount FROM lineorder WHERE lo_discount BETWEEN 4 AND 6", lambda s: _pick(s, c("lo_discount").between(4, 6), "lo_discount"))
+_add("filter_half_open", "SELECT lo_orderkey, lo_discount FROM lineorder WHERE lo_discount > 4 AND lo_discount <= 6", lambda s: _pick(s, (c("lo_discount") > 4) & (c("lo_discount") <= 6), "lo_discount"))
 _add("filter_in", "SELECT p_partkey, p_mfgr FROM s_part WHERE p_mfgr IN (0, 1)", lambda s: s.part.where(c("p_mfgr").isin(0, 1)).select("p_partkey", "p_mfgr"))
 _add("filter_in_many", "SELECT p_partkey, p_mfgr FROM s_part WHERE p_mfgr IN (0, 2, 4)", lambda s: s.part.where(c("p_mfgr").isin(0, 2, 4)).select("p_partkey", "p_mfgr"))
-_add("filter_not", "SELECT lo_orderkey, lo_discount FROM lineorder WHERE NOT (lo_discount >= 5)", lambda s: _pick(s, ~(_d >= 5), "lo_discount"))
+_add("filter_not", "SELECT lo_orderkey, lo_discount FROM lineorder WHERE NOT (lo_discount >= 5)", lambda s: _pick(s, ~(c("lo_discount") >= 5), "lo_discount"))
 _add("filter_is_not_null", "SELECT s_suppkey FROM supplier WHERE s_name IS NOT NULL", lambda s: s.raw("supplier").where(c("s_name").isNotNull()).select("s_suppkey"))
-_add("filter_expr", "SELECT lo_orderkey, lo_quantity FROM lineorder WHERE lo_quantity + lo_discount > 55", lambda s: _pick(s, _q + _d > 55, "lo_quantity"))
-_add("filter_after_join", "SELECT lo_orderkey, s_nation FROM lineorder JOIN s_supplier ON lo_suppkey = s_suppkey WHERE lo_quantity < 10 AND s_region = 1", lambda s: star_join(s.lineorder, [_sup(s, None, ["s_nation", "s_region"])]).where(_q < 10).where(c("s_region") == 1).select("lo_orderkey", "s_nation"))
+_add("filter_expr", "SELECT lo_orderkey, lo_quantity FROM lineorder WHERE lo_quantity + lo_discount > 55", lambda s: _pick(s, c("lo_quantity") + c("lo_discount") > 55, "lo_quantity"))
+_add("filter_after_join", "SELECT lo_orderkey, s_nation FROM lineorder JOIN s_supplier ON lo_suppkey = s_suppkey WHERE lo_quantity < 10 AND s_region = 1", lambda s: star_join(s.lineorder, [_sup(s, None, ["s_nation", "s_region"])]).where(c("lo_quantity") < 10).where(c("s_region") == 1).select("lo_orderkey", "s_nation"))
 _add("having_group_key", f"SELECT d_year, {_SUM} FROM {_BY_YEAR} GROUP BY d_year HAVING d_year >= 1998", lambda s: _revenue(_dated(s), "d_year").where(c("d_year") >= 1998))
 _add("having_agg", f"SELECT d_year, {_SUM} FROM {_BY_YEAR} GROUP BY d_year HAVING sum(lo_revenue) > 1000000", lambda s: _revenue(_dated(s), "d_year").where(c("revenue") > 1000000))
 
@@ -70,13 +68,13 @@ _add("project_reorder", "SELECT lo_revenue, lo_orderkey FROM lineorder", lambda
 _add("project_literal", "SELECT lo_orderkey, 7 AS k FROM lineorder", lambda s: s.lineorder.select("lo_orderkey", F.lit(7).alias("k")))
 _add("project_mul", "SELECT lo_extendedprice * lo_discount AS v FROM lineorder", _v(lambda: mul("lo_extendedprice", "lo_discount")))
 _add("project_sub", "SELECT lo_revenue - lo_supplycost AS v FROM lineorder", _v(lambda: c("lo_revenue") - c("lo_supplycost"), True))
-_add("project_add", "SELECT lo_quantity + lo_discount AS v FROM lineorder", _v(lambda: _q + _d))
-_add("project_lit_first", "SELECT 100 - lo_discount AS v FROM lineorder", _v(lambda: 100 - _d))
-_add("project_lit_second", "SELECT lo_quantity + 1 AS v FROM lineorder", _v(lambda: _q + 1))
+_add("project_add", "SELECT lo_quantity + lo_discount AS v FROM lineorder", _v(lambda: c("lo_quantity") + c("lo_discount")))
+_add("project_lit_first", "SELECT 100 - lo_discount AS v FROM lineorder", _v(lambda: 100 - c("lo_discount")))
+_add("project_lit_second", "SELECT lo_quantity + 1 AS v FROM lineorder", _v(lambda: c("lo_quantity") + 1))
 _add("project_int_div", "SELECT CAST(lo_extendedprice // lo_quantity AS BIGINT) AS v FROM lineorder", _v(lambda: div("lo_extendedprice", "lo_quantity")))
-_add("project_nested", "SELECT lo_extendedprice * (100 - lo_discount) + lo_tax AS v FROM lineorder", _v(lambda: mul("lo_extendedprice", 100 - _d) + c("lo_tax")))
+_add("project_nested", "SELECT lo_extendedprice * (100 - lo_discount) + lo_tax AS v FROM lineorder", _v(lambda: mul("lo_extendedprice", 100 - c("lo_discount")) + c("lo_tax")))
 _add("project_agg_arithmetic", "SELECT d_year, CAST(sum(lo_revenue) AS BIGINT) // 100 AS v FROM lineorder JOIN ddate ON lo_orderdate = d_datekey GROUP BY d_year", lambda s: _revenue(_dated(s), "d_year").select("d_year", div("revenue", F.lit(100)).alias("v")))
-_add("select_filter_project", "SELECT lo_orderkey, lo_revenue FROM lineorder WHERE lo_discount = 10", lambda s: _pick(s, _d == 10, "lo_revenue"))
+_add("select_filter_project", "SELECT lo_orderkey, lo_revenue FROM lineorder WHERE lo_discount = 10", lambda s: _pick(s, c("lo_discount") == 10, "lo_revenue"))
 
 # joins
 _semi = f"SELECT {_SUM} FROM lineorder WHERE lo_suppkey IN (SELECT s_suppkey FROM s_supplier WHERE s_region = 1)"
@@ -97,7 +95,7 @@ _add("join_theta", "SELECT a.r_regionkey AS lo, b.r_regionkey AS hi FROM region
 _add("join_dim_measure", "SELECT p_category, CAST(sum(p_size) AS BIGINT) AS size FROM lineorder JOIN s_part ON lo_partkey = p_partkey GROUP BY p_category", lambda s: star_join(s.lineorder, [_par(s, None, ["p_category", "p_size"])]).groupBy("p_category").agg(F.sum("p_size").alias("size")))
 
 # aggregates
-_none = c("lo_quantity") < 0
+_none = "lo_quantity < 0"
 _add("agg_sum_global", f"SELECT {_SUM} FROM lineorder", lambda s: s.lineorder.agg(F.sum("lo_revenue").alias("revenue")))
 _add("agg_sum_empty", f"SELECT {_SUM} FROM lineorder WHERE lo_quantity < 0", lambda s: s.lineorder.where(_none).agg(F.sum("lo_revenue").alias("revenue")))
 _add("agg_sum0", "SELECT CAST(coalesce(sum(lo_revenue), 0) AS BIGINT) AS revenue FROM lineorder WHERE lo_quantity < 0", lambda s: s.lineorder.where(_none).agg(sum0("lo_revenue").alias("revenue")))
@@ -108,11 +106,11 @@ _add("agg_group_3key", f"SELECT d_year, p_category, s_nation, {_SUM} FROM {_PART
 _add("agg_sum_expr", f"SELECT d_year, CAST(sum(lo_extendedprice * lo_discount) AS BIGINT) AS revenue FROM {_BY_YEAR} GROUP BY d_year", lambda s: _dated(s).groupBy("d_year").agg(F.sum(mul("lo_extendedprice", "lo_discount")).alias("revenue")))
 _add("agg_group_fact_key", f"SELECT lo_discount, {_SUM} FROM lineorder GROUP BY lo_discount", lambda s: _revenue(s.lineorder, "lo_discount"))
 _add("agg_two_keys_one_dim", f"SELECT c_nation, c_city, {_SUM} FROM lineorder JOIN s_customer ON lo_custkey = c_custkey GROUP BY c_nation, c_city", lambda s: _revenue(star_join(s.lineorder, [_cus(s, None, ["c_nation", "c_city"])]), "c_nation", "c_city"))
-_add("group_by_expr", f"SELECT lo_quantity % 10 AS k, {_SUM} FROM lineorder GROUP BY lo_quantity % 10", lambda s: s.lineorder.groupBy((_q % 10).alias("k")).agg(F.sum("lo_revenue").alias("revenue")))
-_n, _avg = F.count(F.lit(1)).alias("cnt"), F.round(F.avg("lo_quantity"), 6).alias("mean")
-_add("agg_count", f"SELECT d_year, count(*) AS cnt FROM {_BY_YEAR} GROUP BY d_year", lambda s: _dated(s).groupBy("d_year").agg(_n))
-_add("agg_avg", f"SELECT d_year, round(avg(lo_quantity), 6) AS mean FROM {_BY_YEAR} GROUP BY d_year", lambda s: _dated(s).groupBy("d_year").agg(_avg))
-_add("agg_multi", f"SELECT d_year, count(*) AS cnt, round(avg(lo_quantity), 6) AS mean, {_SUM} FROM {_BY_YEAR} GROUP BY d_year", lambda s: _dated(s).groupBy("d_year").agg(_n, _avg, F.sum("lo_revenue").alias("revenue")))
+_add("group_by_expr", f"SELECT lo_quantity % 10 AS k, {_SUM} FROM lineorder GROUP BY lo_quantity % 10", lambda s: s.lineorder.groupBy((c("lo_quantity") % 10).alias("k")).agg(F.sum("lo_revenue").alias("revenue")))
+_n, _avg = lambda: F.count(F.lit(1)).alias("cnt"), lambda: F.round(F.avg("lo_quantity"), 6).alias("mean")
+_add("agg_count", f"SELECT d_year, count(*) AS cnt FROM {_BY_YEAR} GROUP BY d_year", lambda s: _dated(s).groupBy("d_year").agg(_n()))
+_add("agg_avg", f"SELECT d_year, round(avg(lo_quantity), 6) AS mean FROM {_BY_YEAR} GROUP BY d_year", lambda s: _dated(s).groupBy("d_year").agg(_avg()))
+_add("agg_multi", f"SELECT d_year, count(*) AS cnt, round(avg(lo_quantity), 6) AS mean, {_SUM} FROM {_BY_YEAR} GROUP BY d_year", lambda s: _dated(s).groupBy("d_year").agg(_n(), _avg(), F.sum("lo_revenue").alias("revenue")))
 _add("agg_count_distinct", f"SELECT d_year, count(DISTINCT lo_custkey) AS cnt FROM {_BY_YEAR} GROUP BY d_year", lambda s: _dated(s).groupBy("d_year").agg(F.count_distinct("lo_custkey").alias("cnt")))
 _add("agg_distinct", "SELECT DISTINCT s_region, s_nation FROM s_supplier", lambda s: s.supplier.select("s_region", "s_nation").distinct())
 _add("agg_min_max", f"SELECT d_year, min(lo_revenue) AS lo, max(lo_revenue) AS hi FROM {_BY_YEAR} GROUP BY d_year", lambda s: _dated(s).groupBy("d_year").agg(F.min("lo_revenue").alias("lo"), F.max("lo_revenue").alias("hi")))
