@@ -27,10 +27,11 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, bounded_broadcast, counted, flat, mix, pack, shard_bounds, shards, shingle_hashes, slices, staged, table, unpack, word_hashes, word_spans
+from .common import LOWER, bounded_broadcast, counted, flat, free, mix, pack, shard_bounds, shards, shingle_hashes, slices, staged, table, unpack, word_hashes, word_spans
 from .components import components
 
 K = 5
@@ -197,13 +198,13 @@ def boundary(known: DataFrame, list_length: float) -> int:
     return min(BOUNDARIES, key=cost)
 
 
-def postings(docs: DataFrame, text: str, k: int, heavy: tuple[np.ndarray, np.ndarray], small: int) -> DataFrame:
+def postings(docs: DataFrame, text: str, k: int, sent: Broadcast, small: int) -> DataFrame:
     """Subset keys of small sets and first tokens of the others, dealt by key, with node, size and what follows.
 
     What follows a token in its set's order (itself included) bounds the intersection
     of a pair whose first common token it is.
     """
-    n, sent = shards(docs.sparkSession), docs.sparkSession.sparkContext.broadcast(heavy)
+    n = shards(docs.sparkSession)
 
     def keys_of(s: np.ndarray, hk: np.ndarray, hdf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if len(hk):
@@ -377,7 +378,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     found = staged(heavy_tokens(docs, text, k), "tokens")
     hk, hdf, least = _heavy_list(found)
     small = boundary(known, 1.0 + least / 4)
-    got = staged(lists(postings(docs, text, k, (hk, hdf), small)), "lists")
+    sent = docs.sparkSession.sparkContext.broadcast((hk, hdf))
+    got = staged(lists(postings(docs, text, k, sent, small)), "lists")
+    sent.destroy()
+    del hk, hdf
+    free()
     long = got.where("kind = 1").groupBy(F.col("x").alias("gid"), F.col("y").alias("node")).agg(F.max("ny").alias("n"), F.max("follow").alias("follow"))
     long = staged(long, "long")
     in_long = got.where("kind = 2").groupBy(F.col("x").alias("node")).agg(F.sum("hits").alias("more"))
@@ -422,6 +427,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
             across = a.join(b, "gid").where((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & (DEN * F.col("nx") >= NUM * F.col("ny")) & (DEN * F.col("ny") >= NUM * F.col("nx")) & (9 * F.least("fx", "fy") >= 4 * (F.col("nx") + F.col("ny"))) & close("x", "y")).select("x", "y")
             more = rest.union(across)
         new = check(more)
+        free()
         links = staged(links.union(new), "links")
         if last:
             break

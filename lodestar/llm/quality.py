@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, counted, flat, slices, staged, table
+from .common import bounded_broadcast, counted, flat, free, slices, staged, table
 
 ORDER = 4
 #: Most rows of the probability tables that are broadcast (12 bytes each).
@@ -231,6 +231,7 @@ def judged(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     held = F.pmod(F.xxhash64("key"), F.lit(HELD)) == 0
     m = model(base.join(bounded_broadcast(trusted.where(~held), LABEL_ROWS), "key", "left_semi"))
     got = staged(scores(base, m).withColumn("perplexity", F.when(F.col("n_tokens") == 0, 1.0).otherwise(F.pow(F.lit(10.0), -F.col("logprob") / F.col("n_tokens")))), "scores")
+    free()
     # quantiles by counts of small steps, which add up over tasks in any order
     aside = got.join(trusted.where(held), "key", "left_semi").where("n_tokens > 0 AND perplexity IS NOT NULL")
     steps = aside.groupBy("lang", F.floor(F.log10("perplexity") / STEP).cast("long").alias("step")).agg(F.count(F.lit(1)).alias("c"))

@@ -202,11 +202,11 @@ def test_toxicity(spark, sf, docs):
     got = QUERIES["op8_toxicity"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").toPandas()
     held = got[got.held_out]
     assert held[held.toxic == 1].score.mean() > 5 * held[held.toxic == 0].score.mean()
-    machine = toxicity.fit(["you are an awful grumblefoot today", "nice day of the year"] * 20, [1, 0] * 20)
+    machine = toxicity.fit(["you are such a grumblefoot today", "you are such a nice person today"] * 20, [1, 0] * 20)  # one word explains the label
     df = spark.createDataFrame([(1, "such a g.r.u.m.b.l.e.f.o.o.t"), (2, "nice day"), (3, None), (4, "x" * 9000)], SCHEMA)
     s = {r.doc_id: r.score for r in toxicity.scored(df, machine).collect()}
     assert s[1] > s[2] and len(s) == 4 and all(0 <= v <= 1 for v in s.values())
-    assert toxicity.fit([], [])[3] < 0 or True
+    assert toxicity.fit(["no toxic label"], [0])[3] < 0
 
 
 def test_elias_fano():
