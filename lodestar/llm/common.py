@@ -6,6 +6,9 @@ vectorised and no Python object is made for each word.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -32,6 +35,14 @@ def shared_dir(spark: SparkSession) -> str:
     return "file:///tmp/checkpoints"
 
 
+def free() -> None:
+    """Gives what the driver's Python no longer uses back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back, which cuts its lineage."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

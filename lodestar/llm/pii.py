@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: Most texts that the field is fitted on, rounds of message passing, and the least probability of an added label.
@@ -307,6 +307,7 @@ def trained(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int
 def masked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with each span of their text replaced by its kind in brackets; overlapping spans become one."""
     sent = docs.sparkSession.sparkContext.broadcast(trained(docs, key, text))
+    free()
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, counted, flat, slices, staged, table
+from .common import bounded_broadcast, counted, flat, free, slices, staged, table
 
 ORDER = 4
 #: Most rows of the probability tables that are broadcast (12 bytes each).
@@ -133,17 +133,19 @@ def model(docs: DataFrame) -> DataFrame:
 
 
 def _arrays(m: DataFrame) -> dict:
-    got = m.toArrow()
-    lang, kind, n, g, v = (got.column(c).to_numpy(zero_copy_only=False) for c in ("lang", "kind", "n", "g", "v"))
+    got = m.select("lang", F.when(F.col("kind") == "p", F.col("n")).otherwise(-1 - F.col("n")).cast("byte").alias("at"), "g", F.col("v").cast("float").alias("v")).toArrow()
+    lang = got.column("lang").combine_chunks().dictionary_encode(null_encoding="encode")  # an index a row, no Python object
+    names, code = lang.dictionary.to_pylist(), lang.indices.to_numpy(zero_copy_only=False)
+    at, g, v = (got.column(c).to_numpy() for c in ("at", "g", "v"))
+    del got, lang
     out: dict = {}
-    label = np.array(["" if x is None else "=" + x for x in lang], object)
-    for name in set(label.tolist()):
+    for i, name in enumerate(names):
         for k in "pb":
             for size in range(ORDER + 1):
-                on = (label == name) & (kind == k) & (n == size)
-                keys, values = g[on].astype(np.uint64), v[on].astype(np.float32)
+                on = np.flatnonzero((code == i) & (at == (size if k == "p" else -1 - size)))
+                keys = g[on].astype(np.uint64)
                 order = np.argsort(keys)
-                out[name[1:] if name else None, k, size] = (keys[order], values[order])
+                out[name, k, size] = (keys[order], v[on[order]])
     return out
 
 
@@ -179,6 +181,7 @@ def scores(docs: DataFrame, m: DataFrame, model_rows: int = MODEL_ROWS) -> DataF
     if m.count() > model_rows:
         return _joined(docs, m)
     sent = docs.sparkSession.sparkContext.broadcast(_arrays(m))
+    free()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = sent.value
