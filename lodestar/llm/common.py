@@ -10,7 +10,7 @@ import contextlib
 import ctypes
 import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +19,14 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that are hashed at once; a longer document makes a slice of its own.
 SLICE_BYTES = 1 << 20
+#: Bytes of rows that go to Python at once (a larger row makes a batch of its own), unless the session has a setting.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -35,14 +40,31 @@ def shared_dir(spark: SparkSession) -> str:
     return "file:///tmp/checkpoints"
 
 
-def free() -> None:
-    """Gives what the driver's Python no longer uses back to the system."""
-    gc.collect()
+def trim() -> None:
+    """Gives the memory that this process holds unused back to the system."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def free() -> None:
+    """trim() once cycles are gone: for the driver, after it has sent a model."""
+    gc.collect()
+    trim()
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run for the tasks of mapInArrow; a worker that waits for its next task then holds no memory of the last one."""
+
+    def go(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return go
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back, which cuts its lineage."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, staged, table
+from .common import bounded_broadcast, staged, table, tidy
 
 WINDOW = 13
 #: Bytes of item text that one automaton is built over; more items make more automata.
@@ -125,7 +125,7 @@ def hits(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "te
                     spans.append([{"start": s, "end": e} for s, e in original_spans(t, h)] if len(h) else [])
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(hit, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=[key, "n_words", "hit_words", "items", "spans"])
 
-        parts.append(docs.select(key, text).mapInArrow(run, out_schema))
+        parts.append(docs.select(key, text).mapInArrow(tidy(run), out_schema))
     if len(parts) == 1:
         return parts[0]
     out = parts[0]

@@ -31,7 +31,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, bounded_broadcast, counted, flat, free, mix, pack, shard_bounds, shards, shingle_hashes, slices, staged, table, unpack, word_hashes, word_spans
+from .common import LOWER, bounded_broadcast, counted, flat, free, mix, pack, shard_bounds, shards, shingle_hashes, slices, staged, table, tidy, trim, unpack, word_hashes, word_spans
 from .components import components
 
 K = 5
@@ -105,7 +105,7 @@ def classes(docs: DataFrame, key: str, text: str, k: int = K) -> DataFrame:
             words = np.concatenate([g[2] for g in got]).reshape(-1, WORDS) if got else np.zeros((0, WORDS), np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), *(pa.array(np.ascontiguousarray(words[:, i])) for i in range(WORDS))], names=["key", "n", "node", *(f"s{i}" for i in range(WORDS))])
 
-    return docs.select(key, text).mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, n long, node long, " + ", ".join(f"s{i} long" for i in range(WORDS)))
+    return docs.select(key, text).mapInArrow(tidy(run), f"key {docs.schema[key].dataType.simpleString()}, n long, node long, " + ", ".join(f"s{i} long" for i in range(WORDS)))
 
 
 def _planes(a: np.ndarray) -> bytes:
@@ -162,7 +162,7 @@ def heavy_tokens(docs: DataFrame, text: str, k: int) -> DataFrame:
         big = c > HEAVY_FROM
         return pa.table({"keys": pa.array([keys[big].tobytes()], pa.binary()), "df": pa.array([c[big].astype("<u4").tobytes()], pa.binary()), "levels": pa.array([[int((c > (HEAVY_FROM << i)).sum()) for i in range(24)]], pa.list_(pa.int64()))})
 
-    dealt = docs.select(F.lit(0).alias("key"), text).mapInArrow(run, "shard int, keys binary, c0 binary")
+    dealt = docs.select(F.lit(0).alias("key"), text).mapInArrow(tidy(run), "shard int, keys binary, c0 binary")
     return dealt.groupBy("shard").applyInArrow(add, "keys binary, df binary, levels array<long>")
 
 
@@ -179,7 +179,7 @@ def _heavy_list(found: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
                 on = df > least
                 yield pa.RecordBatch.from_arrays([pa.array([keys[on].tobytes()], pa.binary()), pa.array([df[on].tobytes()], pa.binary())], names=["keys", "df"])
 
-    got = found.mapInArrow(keep, "keys binary, df binary").toArrow()
+    got = found.mapInArrow(tidy(keep), "keys binary, df binary").toArrow()
     keys = np.frombuffer(b"".join(got.column("keys").to_pylist()), np.uint64)
     df = np.frombuffer(b"".join(got.column("df").to_pylist()), np.uint32)
     order = np.argsort(keys)
@@ -248,7 +248,7 @@ def postings(docs: DataFrame, text: str, k: int, sent: Broadcast, small: int) ->
         if held:
             yield deal()
 
-    return docs.select(F.lit(0).alias("key"), text).mapInArrow(run, "shard int, keys binary, c0 binary, c1 binary, c2 binary")
+    return docs.select(F.lit(0).alias("key"), text).mapInArrow(tidy(run), "shard int, keys binary, c0 binary, c1 binary, c2 binary")
 
 
 def lists(dealt: DataFrame) -> DataFrame:
@@ -261,6 +261,7 @@ def lists(dealt: DataFrame) -> DataFrame:
     """
 
     def scan(group: pa.Table) -> pa.Table:
+        trim()  # what the shard before left
         keys = np.concatenate([unpack(v.as_py()) for v in group.column("keys")])
         node = np.concatenate([_unplanes(v.as_py(), "<i8") for v in group.column("c0")])
         size = np.concatenate([_unplanes(v.as_py(), "<u4") for v in group.column("c1")]).astype(np.int64)
@@ -348,7 +349,7 @@ def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, where: Data
                 yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.binary())], names=["node", "set"])
 
     # repeated rows of a document would give a set twice; that only repeats a link
-    sets = own.mapInArrow(run, "node long, set binary")
+    sets = own.mapInArrow(tidy(run), "node long, set binary")
     right = sets.join(bounded_broadcast(pairs, BROADCAST_ROWS), F.col("node") == F.col("y")).select("x", "y", F.col("set").alias("sy"))
     left = sets.join(bounded_broadcast(pairs.select(F.col("x").alias("node")).distinct(), BROADCAST_ROWS), "node", "left_semi")
     both = right.join(left.select(F.col("node").alias("x"), F.col("set").alias("sx")).hint("merge"), "x")
@@ -365,7 +366,7 @@ def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, where: Data
                 keep.append(DEN * shared >= NUM * (len(both) - shared))
             yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("x", "y", "sx", "sy").mapInArrow(test, "x long, y long").distinct()
+    return both.select("x", "y", "sx", "sy").mapInArrow(tidy(test), "x long, y long").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K) -> DataFrame:

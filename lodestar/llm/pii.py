@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free, table
+from .common import free, table, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 #: Most texts that the field is fitted on, rounds of message passing, and the least probability of an added label.
@@ -292,7 +292,7 @@ def found(docs: DataFrame, weights: Weights, key: str = "doc_id", text: str = "t
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, struct), pa.array(every, struct)], names=[key, "base", "spans"])
 
     kind = "array<struct<kind:string,start:int,end:int>>"
-    return docs.select(key, text).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, base {kind}, spans {kind}")
+    return docs.select(key, text).mapInArrow(tidy(run), f"{key} {docs.schema[key].dataType.simpleString()}, base {kind}, spans {kind}")
 
 
 def trained(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = SAMPLE) -> Weights:
@@ -327,7 +327,7 @@ def masked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
                 out.append(t)
             yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.types[at]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

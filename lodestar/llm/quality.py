@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, counted, flat, free, slices, staged, table
+from .common import bounded_broadcast, counted, flat, free, slices, staged, table, tidy
 
 ORDER = 4
 #: Most rows of the probability tables that are broadcast (12 bytes each).
@@ -94,7 +94,7 @@ def counts(docs: DataFrame) -> DataFrame:
         for name in list(held):
             yield out(name)
 
-    return docs.mapInArrow(run, "lang string, g long, c long").groupBy("lang", "g").agg(F.sum("c").alias("c"))
+    return docs.mapInArrow(tidy(run), "lang string, g long, c long").groupBy("lang", "g").agg(F.sum("c").alias("c"))
 
 
 def model(docs: DataFrame) -> DataFrame:
@@ -197,7 +197,7 @@ def scores(docs: DataFrame, m: DataFrame, model_rows: int = MODEL_ROWS) -> DataF
                     logprob[own] = total[end] - total[end - n]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_tokens), pa.array(logprob, pa.float64(), mask=np.isnan(logprob))], names=["key", "lang", "n_tokens", "logprob"])
 
-    return docs.mapInArrow(run, SCORED.format(kind))
+    return docs.mapInArrow(tidy(run), SCORED.format(kind))
 
 
 def _joined(docs: DataFrame, m: DataFrame) -> DataFrame:
@@ -213,7 +213,7 @@ def _joined(docs: DataFrame, m: DataFrame) -> DataFrame:
                     k, times = (k, times) if c else (np.zeros(1, np.uint64), np.zeros(1, np.int64))
                     yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[r].as_py()] * len(k), batch.schema.types[0]), pa.array([name] * len(k), pa.string()), pa.array([c] * len(k), pa.int64()), pa.array(k.astype(np.int64)), pa.array(times)], names=["key", "lang", "n", "g", "times"])
 
-    g = docs.mapInArrow(run, f"key {kind}, lang string, n long, g long, times long")
+    g = docs.mapInArrow(tidy(run), f"key {kind}, lang string, n long, g long, times long")
     for n in range(0, ORDER + 1):
         for k in "pb" if n < ORDER else "p":
             t = m.where((F.col("kind") == k) & (F.col("n") == n)).select(F.col("lang").alias("lang_"), F.col("g").alias("g_"), F.col("v").alias(f"{k}{n}"))
