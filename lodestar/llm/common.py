@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +48,19 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def trim_jvm(spark: SparkSession) -> None:
+    """trim() for the driver's JVM, whose many planning threads hold freed native memory; nothing where it lacks the command."""
+    gateway, jvm = spark.sparkContext._gateway, spark.sparkContext._jvm
+    with contextlib.suppress(Py4JError):
+        own, string = jvm.java.lang.Object, jvm.java.lang.String
+        # through the interface, as the server's class itself isn't exported
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        values = gateway.new_array(own, 4)
+        values[0], values[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        values[2], values[3] = gateway.new_array(own, 0), gateway.new_array(string, 0)
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), values)
+
+
 def free() -> None:
     """trim() once cycles are gone: for the driver, after it has sent a model."""
     gc.collect()
@@ -69,6 +83,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back, which cuts its lineage."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    trim_jvm(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
