@@ -236,6 +236,31 @@ def test_language_model_paths_agree(docs, edge):
             assert math.isclose(one.base_score[i], sum(math.log10((c[x] + 1) / (n + v + 1)) for x in [*w, None]), rel_tol=1e-9)
 
 
+def test_language_model_keeps_all_pairs_and_triples(spark, edge, docs):
+    rows = [(1, "a b c d"), (2, "e f"), (3, "a b c d")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    train = F.col("doc_id") < 3
+    words_of = lambda d: language_model.save(language_model.word_level(d.where(train).select("text"))[0])
+    got = {r.doc_id: r.score for r in language_model.sharded_scores(df, train, words_of(df)).collect()}
+    # 8 tokens of 7 kinds; each word once, so pairs and triples once, too: p = 1 / 4 and rest = 3 / 4 at both orders, but two texts' starts
+    value = lambda p: 2.0 ** (-math.ceil(-8 * math.log2(p) - 1e-9) / 8)
+    rest = lambda p: value(1 - p)
+    one, start = value(0.25), value(0.125)
+    order2 = lambda p, r, c: p + r * (c + 1) / 16
+    first = order2(start, rest(2 * start), 1)
+    inner, end = (one + rest(one) * order2(one, rest(one), c) for c in (1, 2))
+    assert math.isclose(got[1], math.log10(first) + 3 * math.log10(inner) + math.log10(end), rel_tol=1e-9) and math.isclose(got[3], got[1])
+    for d in (docs.limit(150), edge.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])):
+        train = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) != 2
+        one = language_model.scores(d, language_model.train(d.where(train).select("text"))).toPandas().set_index("doc_id").sort_index()
+        two = language_model.sharded_scores(d, train, words_of(d)).toPandas().set_index("doc_id").sort_index()
+        assert np.allclose(one, two) and list(one.columns) == list(two.columns)
+    train = F.lit(True)
+    assert language_model.sharded_scores(edge, train, words_of(edge)).count() == len(EDGE)
+    train = F.lit(False)
+    assert {r.score for r in language_model.sharded_scores(edge, train, words_of(edge)).collect()} == {0.0} and language_model.sharded_scores(edge.limit(0), train, words_of(edge)).count() == 0
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
