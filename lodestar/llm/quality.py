@@ -6,8 +6,11 @@ joins of count tables that are sharded by their keys. A document's perplexity
 then follows in one of two equal ways: as long as the tables have MODEL_ROWS rows
 at most they are broadcast as sorted arrays; beyond, each document's n-grams are
 joined with the shards. A document is rejected if its perplexity exceeds its
-language's threshold: a quantile over trusted documents that were kept out of
-the counts.
+language's threshold: a quantile over all its trusted documents, each scored by a
+model of the other FOLDS - 1 parts of the trusted text. A language with too few
+trusted documents for that quantile takes its median and the quantile of all
+languages' distances from their medians; one whose documents no other part can
+score takes the quantile of all trusted documents.
 
 Edge cases: null and empty texts have perplexity 1 and are kept; a null language
 is a language of its own; a language without trusted text has no threshold and
@@ -32,8 +35,8 @@ ORDER = 4
 MODEL_ROWS = 1 << 22
 #: Rows up to which the trusted identifiers are broadcast.
 LABEL_ROWS = 1 << 20
-#: The part of trusted documents that sets thresholds (one in so many), their quantile, and the room above it.
-HELD, QUANTILE, ROOM = 10, 0.995, 1.02
+#: Parts of the trusted documents, each scored without itself (10 at most: a digit names one), the thresholds' quantile, and the room above it.
+FOLDS, QUANTILE, ROOM = 5, 0.995, 1.02
 #: Steps of log10 perplexity by which quantiles are counted.
 STEP = 1e-4
 _GATHER = 1 << 20
@@ -102,7 +105,11 @@ def model(docs: DataFrame) -> DataFrame:
 
     n = 0 of kind 'p' is the even share of a symbol, one that wasn't seen included.
     """
-    level = staged(counts(docs), "grams")
+    return model_of(staged(counts(docs), "grams"))
+
+
+def model_of(level: DataFrame) -> DataFrame:
+    """model() of the counts of ORDER-grams (lang, g, c)."""
     parts, lower = [], None
     tables = {ORDER: level}
     for n in range(ORDER - 1, 0, -1):
@@ -227,21 +234,45 @@ def _joined(docs: DataFrame, m: DataFrame) -> DataFrame:
     return sums.select("key", "lang", F.col("n").alias("n_tokens"), "logprob")
 
 
+def limits(steps: DataFrame) -> tuple[DataFrame, int | None]:
+    """lang and the threshold's step of each language of steps (lang, step, c: trusted documents), and the step over all languages."""
+    up = Window.partitionBy("lang").orderBy("step")
+    steps = steps.withColumn("below", F.sum("c").over(up)).withColumn("all", F.sum("c").over(Window.partitionBy("lang")))
+    reached = lambda share: F.min(F.when(F.col("below") >= share * F.col("all"), F.col("step")))
+    own = steps.groupBy("lang").agg(reached(QUANTILE).alias("own"), reached(0.5).alias("middle"), F.max("all").alias("all"))
+    middle = own.select(F.col("lang").alias("lang_"), "middle")
+    away = steps.join(bounded_broadcast(middle, 1 << 14), F.col("lang").eqNullSafe(F.col("lang_")))
+    over = away.agg(F.percentile(F.col("step") - F.col("middle"), QUANTILE, F.col("c")).alias("away"), F.percentile("step", QUANTILE, F.col("c")).alias("step")).first()
+    if over.step is None:
+        return own.select("lang", F.col("own").alias("step")), None
+    # with fewer documents the quantile is the largest one's
+    few = F.col("all") < 1 / (1 - QUANTILE)
+    return own.select("lang", F.when(few, F.col("middle") + int(over.away)).otherwise(F.col("own")).alias("step")), int(over.step)
+
+
 def judged(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """key, lang, n_tokens, logprob, perplexity, threshold, keep for each row of docs. labels: key and quality (1: trusted)."""
     base = docs.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     trusted = labels.where("quality = 1").select(F.col(key).alias("key")).distinct()
-    held = F.pmod(F.xxhash64("key"), F.lit(HELD)) == 0
-    m = model(base.join(bounded_broadcast(trusted.where(~held), LABEL_ROWS), "key", "left_semi"))
-    got = staged(scores(base, m).withColumn("perplexity", F.when(F.col("n_tokens") == 0, 1.0).otherwise(F.pow(F.lit(10.0), -F.col("logprob") / F.col("n_tokens")))), "scores")
+    own = base.join(bounded_broadcast(trusted, LABEL_ROWS), "key", "left_semi").withColumn("fold", F.pmod(F.xxhash64("key"), F.lit(FOLDS)).cast("int"))
+    # a language's model without part i goes by the name of "i:" and the language, that of all parts by FOLDS
+    tag = lambda i: F.concat(i.cast("string"), F.lit(":"), F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("")))
+    bare = F.when(F.length("lang") > 2, F.substring("lang", 4, 1 << 30)).alias("lang")
+    each = counts(own.withColumn("lang", tag(F.col("fold")))).select(F.substring("lang", 1, 1).cast("int").alias("fold"), bare, "g", "c")
+    parts = F.explode(F.filter(F.array(*map(F.lit, range(FOLDS + 1))), lambda i: i != F.col("fold")))
+    every = each.select("lang", "g", "c", parts.alias("without")).groupBy(tag(F.col("without")).alias("lang"), "g").agg(F.sum("c").alias("c"))
+    m = model_of(staged(every, "grams"))
+    without = lambda i: m.where(F.col("lang").startswith(f"{i}:")).select(bare, "kind", "n", "g", "v")
+    judge = lambda s: s.withColumn("perplexity", F.when(F.col("n_tokens") == 0, 1.0).otherwise(F.pow(F.lit(10.0), -F.col("logprob") / F.col("n_tokens"))))
+    got = staged(judge(scores(base, without(FOLDS))), "scores")
     # quantiles by counts of small steps, which add up over tasks in any order
-    aside = got.join(trusted.where(held), "key", "left_semi").where("n_tokens > 0 AND perplexity IS NOT NULL")
-    steps = aside.groupBy("lang", F.floor(F.log10("perplexity") / STEP).cast("long").alias("step")).agg(F.count(F.lit(1)).alias("c"))
-    up = Window.partitionBy("lang").orderBy("step")
-    steps = steps.withColumn("below", F.sum("c").over(up)).withColumn("all", F.sum("c").over(Window.partitionBy("lang")))
-    limit = steps.where(F.col("below") >= QUANTILE * F.col("all")).groupBy("lang").agg(F.min("step").alias("step"))
-    limit = limit.select(F.col("lang").alias("lang_"), (F.pow(F.lit(10.0), (F.col("step") + 1) * STEP) * ROOM).alias("threshold"))
+    aside = reduce(DataFrame.union, [scores(own.where(F.col("fold") == i).select("key", "lang", "text"), without(i)) for i in range(FOLDS)])
+    steps = judge(aside).where("n_tokens > 0 AND perplexity IS NOT NULL").groupBy("lang", F.floor(F.log10("perplexity") / STEP).cast("long").alias("step")).agg(F.count(F.lit(1)).alias("c"))
+    limit, pooled = limits(staged(steps, "steps"))
+    at = lambda step: F.pow(F.lit(10.0), (step + 1) * STEP) * ROOM
+    limit = limit.select(F.col("lang").alias("lang_"), at(F.col("step")).alias("threshold"))
     out = got.join(bounded_broadcast(staged(limit, "thresholds"), 1 << 14), F.col("lang").eqNullSafe(F.col("lang_")), "left").drop("lang_")
+    out = out.withColumn("threshold", F.coalesce("threshold", F.when(F.col("logprob").isNotNull(), at(F.lit(pooled).cast("long")))))
     return out.withColumn("keep", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))).withColumnRenamed("key", key)
 
 

@@ -198,6 +198,25 @@ def test_quality_paths_agree_and_separate(spark, sf, docs, edge):
     assert quality.judged(edge, labels).count() == len(EDGE) and quality.judged(docs.limit(0), labels).count() == 0
 
 
+def test_quality_thresholds_of_every_language_with_trusted_text(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    lonely = spark.createDataFrame([(-1, "xx", "one trusted text"), (-2, "xx", "0#!~^" * 40), (-3, "yy", "no trusted text")], "doc_id long, lang string, text string")
+    all_labels = labels.select("doc_id", "quality").union(spark.createDataFrame([(-1, 1)], "doc_id long, quality int"))
+    got = quality.judged(docs.select("doc_id", "lang", "text").union(lonely), all_labels).join(all_labels, "doc_id", "left").toPandas().set_index("doc_id")
+    assert got[got.lang != "yy"].threshold.notna().all() and got.threshold[-3] != got.threshold[-3] and got.keep[-3]
+    for lang in ("de", "es", "fr", "en"):
+        own = got[got.lang == lang]
+        assert own[own.quality == 1].keep.mean() > 0.9
+    junk = got[(got.quality == 0) & (got.lang == "de")]
+    assert len(junk) and not junk.keep.all() and got.keep[-1] and not got.keep[-2]
+    few = [("a", s, 1) for s in range(10)] + [("b", 100 + s, 1) for s in range(400)] + [(None, 7, 1)]
+    limit, over = quality.limits(spark.createDataFrame(few, "lang string, step long, c long"))
+    by = {r.lang: r.step for r in limit.collect()}
+    away = np.percentile(sorted([s - 4 for s in range(10)] + [s - 199 for s in range(400)] + [0]), 99.5)
+    assert by == {"a": 4 + int(away), "b": 497, None: 7 + int(away)} and over == int(np.percentile([r[1] for r in few], 99.5))
+
+
 def test_toxicity(spark, sf, docs):
     got = QUERIES["op8_toxicity"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").toPandas()
     held = got[got.held_out]
