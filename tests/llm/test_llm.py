@@ -185,6 +185,17 @@ def test_personal_data(docs, edge):
     assert "[EMAIL]" in pii.masked(docs.limit(1).select(F.lit(1).alias("doc_id"), F.lit("to a.b@c.de now").alias("text"))).first().text
 
 
+def test_personal_data_is_consistent_at_any_length():
+    skip = 2.0 * np.eye(len(pii.KINDS) + 1)
+    for n in (1, 2, 5, 40, 300):
+        text = "+1 (743) 555-3824" + " then some more words follow 17435553824" * n
+        base = pii.base_spans(text)
+        g = pii.Graph(text, base)
+        label = g.fixed(base)
+        p = pii.infer(g, label, (np.zeros((g.x.shape[1], len(skip))), np.zeros_like(skip), skip))
+        assert (label == 0).sum() == n and (p[label == 0].argmax(axis=1) == 4).all() and p[label == 0].max(axis=1).min() > 0.6
+
+
 def test_quality_paths_agree_and_separate(spark, sf, docs, edge):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     base = docs.select(F.col("doc_id").alias("key"), "lang", "text")
