@@ -90,6 +90,11 @@ _FEW = "(SELECT o_custkey, o_orderkey FROM orders WHERE o_orderkey % 3 = 0)"
 for _name, _how, _sql in (("left", "left", "LEFT"), ("right", "right", "RIGHT"), ("full", "full", "FULL")):
     _add(f"join_{_name}", f"SELECT c_custkey, o_orderkey FROM s_customer {_sql} JOIN {_FEW} ON c_custkey = o_custkey", lambda s, how=_how: s.customer.join(_few(s), c("c_custkey") == c("o_custkey"), how).select("c_custkey", "o_orderkey"))
 _add("join_anti", f"SELECT c_custkey FROM s_customer WHERE c_custkey NOT IN (SELECT o_custkey FROM {_FEW})", lambda s: s.customer.join(_few(s), c("c_custkey") == c("o_custkey"), "left_anti").select("c_custkey"))
+# the same joins over whole tables; some orders have no lines
+_lines = lambda s, how: s.raw("orders").select("o_orderkey").join(s.raw("lineitem").select("l_orderkey", "l_linenumber"), c("o_orderkey") == c("l_orderkey"), how)
+for _name, _how, _sql in (("left", "left", "LEFT"), ("right", "right", "RIGHT"), ("full", "full", "FULL")):
+    _add(f"join_{_name}_whole", f"SELECT o_orderkey, l_orderkey, l_linenumber FROM orders {_sql} JOIN lineitem ON o_orderkey = l_orderkey", lambda s, how=_how: _lines(s, how))
+_add("join_anti_whole", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)", lambda s: _lines(s, "left_anti"))
 _add("join_multi_key", "SELECT count(*) AS cnt FROM s_supplier JOIN s_customer ON s_nation = c_nation AND s_city = c_city", lambda s: s.supplier.join(s.customer, (c("s_nation") == c("c_nation")) & (c("s_city") == c("c_city"))).agg(F.count(F.lit(1)).alias("cnt")))
 _add("join_theta", "SELECT a.r_regionkey AS lo, b.r_regionkey AS hi FROM region a JOIN region b ON a.r_regionkey < b.r_regionkey", lambda s: s.raw("region").select(c("r_regionkey").alias("lo")).join(s.raw("region").select(c("r_regionkey").alias("hi")), c("lo") < c("hi")))
 _add("join_dim_measure", "SELECT p_category, CAST(sum(p_size) AS BIGINT) AS size FROM lineorder JOIN s_part ON lo_partkey = p_partkey GROUP BY p_category", lambda s: star_join(s.lineorder, [_par(s, None, ["p_category", "p_size"])]).groupBy("p_category").agg(F.sum("p_size").alias("size")))

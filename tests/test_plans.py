@@ -55,6 +55,14 @@ def test_duplicate_keys_keep_join_meaning(spark):
     assert star_join(fact, [Dim(dim, "d", "k")]).count() == 1
 
 
+def test_outer_joins_take_all_rows_of_both_tables(spark, tmp_path):
+    spark.createDataFrame([(1,), (2,), (3,)], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(2, 1), (2, 2), (4, 1), (5, 1)], "l_orderkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    both, left, right = [(2, 2, 1), (2, 2, 2)], [(1, None, None), (3, None, None)], [(None, 4, 1), (None, 5, 1)]
+    for name, want in (("left", both + left), ("right", both + right), ("full", both + left + right), ("anti", [(1,), (3,)])):
+        assert plain(plans.queries()[f"join_{name}_whole"](spark, str(tmp_path)).collect()) == plain(want)
+
+
 def test_integer_arithmetic(spark):
     row = spark.range(1).select(div(F.lit(-7), F.lit(2)).alias("q"), mul(2_000_000_000, 2).alias("p")).first()
     assert (row.q, row.p) == (-3, 4_000_000_000)
