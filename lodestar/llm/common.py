@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,17 +80,52 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return go
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back, which cuts its lineage."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+_open: list[str] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables that staged() writes inside are removed at the end, but those written by the function that it gives.
+
+    What leaves the block must therefore be such a kept table, or be read by nothing later.
+    """
+    folder = f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
+    outer = _open[-1] if _open else None
+    _open.append(folder)
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        return _write(df, f"{outer if outer else shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+
+    try:
+        yield kept
+    finally:
+        _open.pop()
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _write(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     trim_jvm(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def shards(spark: SparkSession) -> int:
-    """How many hash shards packed arrays are dealt to: as many as shuffles have partitions."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Writes df to the shared folder and reads it back, which cuts its lineage; inside scratch() it goes with the rest."""
+    return _write(df, f"{_open[-1] if _open else shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
+
+
+#: Bytes of input, as Spark estimates them, that one shard of packed arrays is made of at most.
+SHARD_BYTES = 64 << 20
+
+
+def shards(spark: SparkSession, df: DataFrame | None = None) -> int:
+    """How many hash shards packed arrays are dealt to: as many as shuffles have partitions, and more for a large df."""
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if df is None:
+        return n
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return max(n, min(-(-size // SHARD_BYTES), 1 << 20))
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
@@ -123,11 +159,11 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
-_T = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-_P = np.uint64(0x9E3779B97F4A7C15)
-_LOW = np.ones(4096, np.uint64)
-np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(4095, _P)]), out=_LOW)
 _M = _rng.integers(1, 1 << 63, 8, dtype=np.uint64) | np.uint64(1)
+#: Keeps the first n bytes of a little-endian 64-bit word.
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Spans of more bytes are hashed one by one.
+_LONG_SPAN = 64
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -155,20 +191,30 @@ def word_spans(data: np.ndarray, off: np.ndarray, sep: np.ndarray = SPACE) -> tu
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span; spans ascend and don't overlap."""
+    """64-bit hash of each span.
+
+    Eight bytes at a time are one number, which a bijective mixer spreads, so no two
+    spans of up to eight bytes of one size collide. Longer ones chain the mixer over
+    their parts, those of more than _LONG_SPAN bytes are hashed by xxh3.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[:-8] = data
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place
     sizes = ends - starts
-    first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    pos = np.arange(int(sizes.sum()), dtype=np.int64) - np.repeat(first, sizes)
-    part = _T[data[pos + np.repeat(starts, sizes)]]
-    if (longest := int(sizes.max())) <= 4096:
-        part *= _LOW[pos]
-    else:
-        high = np.ones((longest >> 12) + 1, np.uint64)
-        np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(high) - 1, _LOW[4095] * _P)]), out=high)
-        part *= _LOW[pos & 4095] * high[pos >> 12]
-    return mix(np.add.reduceat(part, first) ^ (sizes.astype(np.uint64) * _M[7]))
+    h = mix((eight[starts] & _KEEP[np.minimum(sizes, 8)]) + _M[0])
+    more = np.flatnonzero((sizes > 8) & (sizes <= _LONG_SPAN))
+    for at in range(8, _LONG_SPAN, 8):
+        if not len(more):
+            break
+        part = eight[starts[more] + at] & _KEEP[np.minimum(sizes[more] - at, 8)]
+        h[more] = mix((h[more] * _M[1] + np.uint64(at)) ^ mix(part + _M[2]))
+        more = more[sizes[more] > at + 8]
+    if (far := np.flatnonzero(sizes > _LONG_SPAN)).size:
+        raw = data.tobytes()
+        h[far] = [xxhash.xxh3_64_intdigest(raw[s:e]) for s, e in zip(starts[far].tolist(), ends[far].tolist(), strict=True)]
+    return mix(h ^ (sizes.astype(np.uint64) * _M[7]))
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:

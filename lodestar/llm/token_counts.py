@@ -1,24 +1,26 @@
 """Token counts by rank-synchronous array merging.
 
 Pre-tokens of a batch are held as one ragged numpy array of symbols. In each
-round every sequence applies its lowest-rank pair (the leftmost of equal ones),
-all sequences at once, until no pair of any sequence is in the vocabulary; the
-symbols that survive are the tokens. Only distinct pre-tokens are merged.
+round every sequence applies its lowest-rank pair at all its places, all sequences
+at once, until no pair of any sequence is in the vocabulary; the symbols that
+survive are the tokens. The rule is one place at a time, the leftmost first: if a
+place makes a new pair of a rank that isn't higher, its sequence applies the
+leftmost place alone in that round. Rounds are thus no more than the ranks that
+occur, but for such places. Only distinct pre-tokens are merged, and counts are
+remembered by their characters; a hash only finds those that may be equal.
 
 For a sentencepiece BPE model with byte fallback: white space is kept, each
 space becomes U+2581 and one is put in front; no piece holds U+2581 after
 another character, so pre-tokens start where U+2581 follows another character.
 A character outside the vocabulary counts as its UTF-8 bytes.
 
-Edge cases: null and empty texts have 0 tokens; repeated rows are counted alike.
-A pre-token of more than LONG symbols (as hex dumps, or a text without spaces)
-is merged by the same rule through a priority queue, as rounds over one long
-sequence would take quadratic time.
+Edge cases: null and empty texts have 0 tokens; repeated rows are counted alike;
+a text without spaces is one pre-token of any length; an empty table gives none;
+other columns are not read.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,9 +30,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import flat, slices, table, word_hashes
 
 OVER = 4096
-LONG = 400
-#: Distinct pre-tokens whose counts a worker remembers.
-REMEMBER = 1 << 20
+#: Distinct pre-tokens whose counts a worker remembers, each of so many bytes at most.
+REMEMBER, REMEMBER_BYTES = 1 << 18, 64
 _SPACE = "▁"
 
 
@@ -69,43 +70,14 @@ class Merger:
         at[at == len(self.keys)] = 0
         return np.where(self.keys[at] == key, at, len(self.keys)) if len(self.keys) else np.zeros(len(key), np.int64)
 
-    def long(self, syms: list[int]) -> list[int]:
-        """One sequence by a priority queue of (rank, position)."""
-        syms, n = list(syms), len(syms)
-        nxt, prv, heap = list(range(1, n + 1)), list(range(-1, n - 1)), []
-
-        def push(i: int, j: int) -> None:
-            if i >= 0 and j < n and syms[i] >= 0 and syms[j] >= 0 and (p := self.pairs.get(syms[i] * self.n + syms[j])):
-                heapq.heappush(heap, (p[0], i, j, syms[i], syms[j], p[1]))
-
-        gone = [False] * n
-        for i in range(n - 1):
-            push(i, i + 1)
-        while heap:
-            _, i, j, a, b, made = heapq.heappop(heap)
-            if gone[i] or gone[j] or nxt[i] != j or syms[i] != a or syms[j] != b:
-                continue
-            syms[i], gone[j], nxt[i] = made, True, nxt[j]
-            if nxt[j] < n:
-                prv[nxt[j]] = i
-            push(prv[i], i)
-            push(i, nxt[i])
-        return [s for s, g in zip(syms, gone, strict=True) if not g]
-
     def counts(self, chars: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Tokens of each sequence of code points; off has n + 1 entries, no sequence is empty."""
         ids = self.bmp[chars].astype(np.int64)
         bytes_ = 1 + (chars > 0x7F) + (chars > 0x7FF) + (chars > 0xFFFF)
         out = np.add.reduceat(np.where(ids < 0, bytes_, 0), off[:-1])
-        sizes = np.diff(off)
-        for k in np.flatnonzero(sizes > LONG):
-            out[k] += sum(s >= 0 for s in self.long(ids[off[k] : off[k + 1]].tolist()))
-        live = np.flatnonzero(sizes <= LONG)
-        keep = np.repeat(sizes <= LONG, sizes)
-        syms, sizes = ids[keep], sizes[live]
-        seq = np.repeat(np.arange(len(live)), sizes)
-        last = np.cumsum(sizes) - 1
-        done = np.zeros(len(live), np.int64)
+        syms, sizes = ids, np.diff(off)
+        seq = np.repeat(np.arange(len(sizes)), sizes)
+        last = off[1:] - 1
         none = len(self.keys)
         if len(syms):
             pair = self.look(syms, np.append(syms[1:], -1))
@@ -117,15 +89,14 @@ class Merger:
             count = np.diff(np.append(first, len(syms)))
             idle = low == 1 << 30
             if idle.any():  # these sequences have ended
-                done[seq[first[idle]]] = np.add.reduceat((syms >= 0).astype(np.int64), first)[idle]
+                out[seq[first[idle]]] += np.add.reduceat((syms >= 0).astype(np.int64), first)[idle]
                 on = np.repeat(~idle, count)
                 syms, seq, pair, rank = syms[on], seq[on], pair[on], rank[on]
                 if not len(syms):
                     break
                 low, count = low[~idle], count[~idle]
                 first = np.concatenate([[0], np.cumsum(count)[:-1]])
-            hit = np.flatnonzero(rank == np.repeat(low, count))
-            at = hit[np.concatenate([[True], seq[hit[1:]] != seq[hit[:-1]]])]
+            at = self._places(syms, seq, pair, rank, np.repeat(low, count))
             syms[at] = self.made[pair[at]]
             gone = np.ones(len(syms), bool)
             gone[at + 1] = False
@@ -137,12 +108,37 @@ class Merger:
             nxt = np.minimum(near + 1, len(syms) - 1)
             same = (near + 1 < len(syms)) & (seq[nxt] == seq[near])
             pair[near] = np.where(same, self.look(syms[near], syms[nxt]), none)
-        out[live] += done
         return out
 
+    def _places(self, syms: np.ndarray, seq: np.ndarray, pair: np.ndarray, rank: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """Where pairs of the lowest rank are merged in this round: places that don't overlap, the left ones first."""
+        hit = np.flatnonzero(rank == low)
+        head = np.concatenate([[True], np.diff(hit) > 1])
+        run = np.flatnonzero(head)
+        at = hit[(np.arange(len(hit)) - np.repeat(run, np.diff(np.append(run, len(hit))))) % 2 == 0]
+        own = seq[at]
+        first = np.concatenate([[True], own[1:] != own[:-1]])
+        if first.all():
+            return at
+        made = self.made[pair[at]]
+        # the pairs that each place makes when it is merged after those on its left
+        left = np.maximum(at - 1, 0)
+        before = syms[left]
+        joined = np.concatenate([[False], at[1:] - at[:-1] == 2]) & ~first
+        before[joined] = made[np.flatnonzero(joined) - 1]
+        inner = (at > 0) & (seq[left] == own)
+        right = np.minimum(at + 2, len(syms) - 1)
+        outer = (at + 2 < len(syms)) & (seq[right] == own)
+        worse = np.zeros(len(at), bool)
+        for ok, a, b in ((inner, before, made), (outer, made, syms[right])):
+            worse |= ok & (self.rank[self.look(a, b)] <= low[at])
+        bad = np.zeros(int(seq[-1]) + 1, bool)
+        bad[own[worse]] = True
+        return at[first | ~bad[own]]
+
 
 _mergers: dict[str, Merger] = {}
-_known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+_known: dict[str, dict[bytes, int]] = {}
 
 
 def merger(model: str) -> Merger:
@@ -156,14 +152,13 @@ def merger(model: str) -> Merger:
     return _mergers[model]
 
 
-def count_batch(m: Merger, data: np.ndarray, off: np.ndarray, memory: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
-    """Tokens of each UTF-8 text, and the remembered pre-tokens with those of this call."""
+def count_batch(m: Merger, data: np.ndarray, off: np.ndarray, memory: dict[bytes, int]) -> np.ndarray:
+    """Tokens of each UTF-8 text. memory: counts of pre-tokens by their characters, which grows."""
     n = len(off) - 1
     filled = np.flatnonzero(np.diff(off) > 0)
     total = np.zeros(n, np.int64)
-    memory = memory or (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     if not len(filled):
-        return total, memory
+        return total
     cp = np.frombuffer(data[off[0] : off[-1]].tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
     lead = (data[off[0] : off[-1]] & 0xC0) != 0x80
     at = np.concatenate([[0], np.cumsum(lead)])[off - off[0]]
@@ -179,27 +174,35 @@ def count_batch(m: Merger, data: np.ndarray, off: np.ndarray, memory: tuple[np.n
     end = np.append(tok[1:], len(chars))
     raw = chars.astype("<u4").view(np.uint8)
     h = word_hashes(raw, tok * 4, end * 4)
-    uniq, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-    slot = np.searchsorted(memory[0], uniq)
-    slot[slot == len(memory[0])] = 0
-    known = memory[0][slot] == uniq if len(memory[0]) else np.zeros(len(uniq), bool)
-    each = np.zeros(len(uniq), np.int64)
-    each[known] = memory[1][slot[known]]
-    if (new := np.flatnonzero(~known)).size:
+    _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+    # a pre-token that isn't that of its hash, character by character, stands for itself
+    like = first[inverse]
+    size = end - tok
+    same = size == size[like]
+    own = np.flatnonzero(same & (like != np.arange(len(tok))))
+    o = np.concatenate([[0], np.cumsum(size[own])])
+    step = np.arange(o[-1]) - np.repeat(o[:-1], size[own])
+    differs = chars[step + np.repeat(tok[own], size[own])] != chars[step + np.repeat(tok[like[own]], size[own])]
+    if differs.any():
+        same[own[np.add.reduceat(differs, o[:-1]) > 0]] = False
+    odd = np.flatnonzero(~same)
+    inverse[odd] = len(first) + np.arange(len(odd))
+    first = np.concatenate([first, odd])
+    text = raw.tobytes()
+    names = [text[4 * s : 4 * e] for s, e in zip(tok[first].tolist(), end[first].tolist(), strict=True)]
+    each = np.array([memory.get(x, -1) for x in names], np.int64)
+    if (new := np.flatnonzero(each < 0)).size:
         s, e = tok[first[new]], end[first[new]]
         sizes = e - s
         o = np.concatenate([[0], np.cumsum(sizes)])
         idx = np.arange(o[-1]) - np.repeat(o[:-1], sizes) + np.repeat(s, sizes)
         each[new] = m.counts(chars[idx], o)
-        if len(memory[0]) + len(new) > REMEMBER:
-            memory = (uniq, each)
-        else:
-            keys = np.concatenate([memory[0], uniq[new]])
-            order = np.argsort(keys)
-            memory = (keys[order], np.concatenate([memory[1], each[new]])[order])
+        if len(memory) + len(new) > REMEMBER:
+            memory.clear()
+        memory.update((names[i], int(each[i])) for i in new.tolist() if len(names[i]) <= REMEMBER_BYTES)
     doc = np.searchsorted(begin, tok, "right") - 1
     total[filled] = np.bincount(doc, weights=each[inverse], minlength=len(filled)).astype(np.int64)
-    return total, memory
+    return total
 
 
 def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str = "piece_bpe_32k.model", limit: int = OVER) -> DataFrame:
@@ -211,7 +214,7 @@ def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", model
             data, off = flat(batch.column(1))
             n = np.zeros(len(off) - 1, np.int64)
             for i, j in slices(off):
-                n[i:j], _known[model] = count_batch(m, data, off[i : j + 1], _known.get(model))
+                n[i:j] = count_batch(m, data, off[i : j + 1], _known.setdefault(model, {}))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(off), pa.int64()), pa.array(n), pa.array(n > limit)], names=[key, "n_bytes", "n_tokens", "over_limit"])
 
     return docs.select(key, text).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
