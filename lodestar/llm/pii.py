@@ -1,25 +1,35 @@
 """Personal data by patterns and a skip-chain conditional random field.
 
-Base spans are found by four patterns. The field then labels tokens that hold a
-digit or an at sign: neighbours share chain potentials, and tokens of one text
-that are the same or similar (equal digits, or an equal part before an at sign)
-share skip potentials, so a form that the patterns miss takes the label that its
-repetition has. Base tokens are fixed; the others are labelled by loopy message
-passing, and spans are added where a label is likely enough.
-
-The field's weights are fitted by pseudo-likelihood on at most SAMPLE texts,
-whose base spans are the labels.
+Base spans are found by four patterns. The field then labels all other tokens that
+hold a digit, an at sign or the local part of an address of the text: neighbours
+share chain potentials, and mentions of one text that are the same or similar
+share skip potentials, so a form that the patterns miss takes the label of its
+repetition. Mentions are runs of tokens; they are alike by their digits whatever
+parts them, by their digits without the country's, by their four numbers, or by
+the part before an at sign, however it is written. Each token of a mention is
+linked to the next alike mention and to the first alike base span of each kind, so
+a label reaches any distance and a token that is repeated often stays cheap. Base
+tokens are fixed; the others are labelled by loopy message passing, and spans are
+added where a label is likely enough, also in texts without a base span (a card
+behind another number, which the patterns take for one).
+
+The field's weights are fitted by pseudo-likelihood on at most SAMPLE texts, whose
+base spans are the labels, and on the same texts with some of these spans repeated
+in another form (labelled alike), numbers of the same form that nothing in the text
+is like (no label), and invented numbers side by side; of a text at most NODES
+tokens are taken.
 
 Edge cases: null and empty texts have no spans; a text without digits and at
-signs is not looked at further; repeated rows get equal spans; skip links join
-each token to the next alike one, and to the first alike base token of each kind
-however far it is, so a token repeated many times stays cheap and its labels
-don't fade with distance. Extra columns pass through masked().
+signs is not looked at further; runs of digits of any length are judged; repeated
+rows get equal spans; an empty table, or one without evidence, leaves weights of 0
+that add nothing. Extra columns pass through masked(); null and repeated keys keep
+their rows.
 """
 
 from __future__ import annotations
 
 import bisect
+import random
 import re
 from collections.abc import Iterator
 
@@ -31,8 +41,10 @@ from pyspark.sql import functions as F
 from .common import free, table, tidy
 
 KINDS = ("email", "ip", "card", "phone")
-#: Most texts that the field is fitted on, least rounds of message passing, the change of messages that ends it, and the least probability of an added label.
-SAMPLE, ROUNDS, SETTLED, SURE = 2000, 12, 1e-3, 0.7
+#: Most texts that the field is fitted on, and tokens of each; least rounds of message passing, the change of messages that ends it, and the least probability of an added label.
+SAMPLE, NODES, ROUNDS, SETTLED, SURE = 2000, 400, 12, 1e-3, 0.7
+#: Most tokens and digits of a mention.
+TOKENS, DIGITS = 6, 19
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -52,6 +64,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _four(numbers: list[str]) -> str | None:
+    """Four numbers of at most 255 as one name, or None."""
+    short = [n.lstrip("0") or "0" for n in numbers]
+    return ".".join(short) if len(short) == 4 and all(len(n) <= 3 and int(n) <= 255 for n in short) else None
+
+
 def base_spans(text: str) -> list[tuple[int, str, int]]:
     """(start, kind, end) of each kind's leftmost matches, in order of start and then of KINDS."""
     out = []
@@ -69,7 +87,7 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
             # a longer dotted number leaves its rest to the next match
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+            if _four(m[0].split(".")):
                 out.append((m.start(), 1, m.end()))
         for m in _CARD.finditer(text):
             digits = _NOT_DIGIT.sub("", m[0])
@@ -88,90 +106,147 @@ def joined(spans: list[tuple[int, str, int]]) -> str:
 
 # -- the field
 
-_FEATURES = 18
+_FEATURES = 27
 _L = len(KINDS) + 1
+_NUMBER = re.compile(r"[0-9]+")
+_AT = re.compile(r"@|[(\[{]at[)\]}]")
+_BARE = re.compile(r"(?=[a-z0-9%+-]*[._0-9])(?=.*[a-z])[a-z0-9._%+-]{4,}")
+_LETTER = re.compile(r"[^\W\d_]")
 
+Node = tuple[int, int, str]
 
-def nodes(text: str) -> list[tuple[int, int, str]]:
-    """Start, end and text of each token with a digit or an at sign, without marks at its ends."""
+
+def nodes(text: str, locals_: frozenset[str] = frozenset()) -> list[Node]:
+    """Start, end and text of each token with a digit or an at sign, or that is one of locals_, without marks at its ends."""
     out = []
     for m in _TOKEN.finditer(text):
         t = m[0]
-        if "@" in t or _DIGIT.search(t):
+        if "@" in t or _DIGIT.search(t) or (locals_ and t.strip("*#$%&!?|,;:.\"'<>[]{}()=/\\").lower() in locals_):
             core = t.strip("*#$%&!?|,;:.\"'<>[]{}=/\\")
+            core = core[:-1] if core.endswith(")") and "(" not in core else core[1:] if core.startswith("(") and ")" not in core else core
             if core:
                 s = m.start() + t.index(core)
                 out.append((s, s + len(core), core))
     return out
 
 
-def features(text: str, node: tuple[int, int, str]) -> np.ndarray:
+def features(text: str, node: Node) -> np.ndarray:
     s, e, t = node
-    digits = sum(c.isascii() and c.isdigit() for c in t)
+    number = "".join(_NUMBER.findall(t))
+    digits = len(number)
     before, after = text[max(0, s - 2) : s].strip()[-1:], text[e : e + 2].strip()[:1]
+    groups = len(_NUMBER.findall(t))
     f = np.zeros(_FEATURES)
     f[0] = 1
     f[1], f[2] = "@" in t, "." in t
-    f[3], f[4] = t.count(".") == 3, t.startswith("+") or before == "+"
+    f[3], f[4] = _four(_NUMBER.findall(t)) is not None, t.startswith("+") or before == "+"
     f[5], f[6] = "-" in t, "(" in t or ")" in t
     f[7 + min(6, digits // 3)] = 1
     f[14] = digits == len(t)
-    f[15] = any(c.isalpha() for c in t)
+    f[15] = _LETTER.search(t) is not None
     f[16], f[17] = before.isdigit() or before == ")", after.isdigit() or after in ("(", "-")
+    f[18] = 14 <= digits <= 19 and luhn(number)
+    f[19] = 14 <= digits <= 19 and not f[18]
+    f[20] = "@" in t and "." in t.partition("@")[2]
+    f[21] = 10 <= digits <= 15
+    f[22], f[23] = groups == 3, groups > 4
+    f[24] = before in ("=", '"', "'")
+    f[25] = digits == 0
     return f
 
 
-def alike(node: tuple[int, int, str]) -> list[str]:
-    """Keys by which a token is like another: its digits, its part before an at sign, or itself."""
-    t = node[2]
-    digits = _NOT_DIGIT.sub("", t)
+def _names(kind_text: str) -> set[str]:
+    """What a run of tokens without letters is known by: its digits, those without the country's, its four numbers."""
+    numbers = _NUMBER.findall(kind_text)
+    digits = "".join(numbers)
+    out = set()
+    if 7 <= len(digits) <= DIGITS:
+        out.add("d" + digits)
+        if len(digits) > 10 and "+" in kind_text:
+            out.add("d" + digits[-10:])
+        elif len(digits) == 11 and digits[0] == "1":
+            out.add("d" + digits[1:])
+    if four := _four(numbers):
+        out.add("q" + four)
+    return out
+
+
+def mentions(text: str, own: list[Node]) -> list[tuple[str, int, int]]:
+    """Name, first and last token of each run of tokens that may be alike to others."""
     out = []
-    if len(digits) >= 6:
-        out.append("d" + digits)
-    local = t.split("@", 1)[0].lower()
-    if "@" in t and len(local) >= 4:
-        out.append("l" + local)
-    elif len(local) >= 6 and not t.isdigit():
-        out.append("l" + local)
+    plain = [not _LETTER.search(n[2]) and "@" not in n[2] for n in own]
+    for i, (s, e, t) in enumerate(own):
+        if not plain[i]:
+            local = _AT.split(t.lower(), maxsplit=1)
+            if len(local[0]) >= 3 and (len(local) == 2 or _BARE.fullmatch(local[0])):
+                out.append(("l" + local[0], i, i))
+            continue
+        digits = 0
+        for j in range(i, min(i + TOKENS, len(own))):
+            if not plain[j] or (j > i and own[j][0] - own[j - 1][1] > 3):
+                break
+            digits += sum(map(len, _NUMBER.findall(own[j][2])))
+            if digits > DIGITS:
+                break
+            out += [(k, i, j) for k in _names(text[max(0, s - 1) : own[j][1]] if text[max(0, s - 1) : s] == "+" else text[s : own[j][1]])]
     return out
 
 
+def international(text: str, own: list[Node]) -> Iterator[tuple[int, int]]:
+    """First and last token of each run behind a plus sign that comes to 10 to 15 digits before it meets anything else."""
+    for i, (s, _, t) in enumerate(own):
+        if t.startswith("+") or text[max(0, s - 1) : s] == "+":
+            digits, j = 0, i
+            while j < min(i + TOKENS, len(own)):
+                numbers = _NUMBER.findall(own[j][2])
+                if _LETTER.search(own[j][2]) or (j > i and (own[j][0] - own[j - 1][1] > 3 or "+" in own[j][2] or _four(numbers))):
+                    break
+                digits += sum(map(len, numbers))
+                if digits >= 10:
+                    if digits <= 15:
+                        yield i, j
+                    break
+                j += 1
+
+
+def _local_parts(text: str, spans: list[tuple[int, str, int]]) -> frozenset[str]:
+    got = (text[s:e].split("@", 1)[0].lower() for s, k, e in spans if k == "email")
+    return frozenset(x for x in got if _BARE.fullmatch(x))
+
+
 class Graph:
     """Tokens of one text with their unary features, chain and skip links."""
 
     def __init__(self, text: str, spans: list[tuple[int, str, int]]):
-        self.nodes = nodes(text)
-        # tokens of a base span also go by the digits of the whole span
-        more: dict[int, str] = {}
-        ends = [n[1] for n in self.nodes]
-        for s, _, e in spans:
-            digits = _NOT_DIGIT.sub("", text[s:e])
-            for i in range(bisect.bisect_right(ends, s), len(self.nodes)):
-                if self.nodes[i][0] >= e:
-                    break
-                if len(digits) >= 6:
-                    more[i] = "d" + digits
+        self.nodes = nodes(text, _local_parts(text, spans))
+        self.text = text
         self.x = np.array([features(text, n) for n in self.nodes]).reshape(-1, _FEATURES)
+        for i, j in international(text, self.nodes):
+            self.x[i : j + 1, 26] = 1
         chain = [(i, i + 1) for i in range(len(self.nodes) - 1) if self.nodes[i + 1][0] - self.nodes[i][1] <= 3]
-        last: dict[str, int] = {}
+        at: dict[str, set[tuple[int, int]]] = {}
+        for name, i, j in mentions(text, self.nodes):
+            at.setdefault(name, set()).add((i, j))
+        ends = [n[1] for n in self.nodes]
+        base: dict[str, dict[str, int]] = {}
+        for s, kind, e in spans:
+            i = j = bisect.bisect_right(ends, s)
+            while j + 1 < len(self.nodes) and self.nodes[j + 1][0] < e:
+                j += 1
+            if i < len(self.nodes) and self.nodes[i][0] < e:
+                for name in {"l" + text[s:e].split("@", 1)[0].lower()} if kind == "email" else _names(text[s:e]):
+                    at.setdefault(name, set()).add((i, j))
+                    base.setdefault(name, {}).setdefault(kind, i)
         skip = set()
-        for i, n in enumerate(self.nodes):
-            for k in {*alike(n), more.get(i)} - {None}:
-                if k in last and last[k] != i:
-                    skip.add((last[k], i))
-                last[k] = i
+        for name, where in at.items():
+            if len(where) > 1:
+                before = None
+                for i, j in sorted(where):
+                    hubs = {*base.get(name, {}).values(), *([] if before is None else [before])}
+                    skip.update((min(h, k), max(h, k)) for h in hubs for k in range(i, j + 1) if not i <= h <= j)
+                    before = i
         self.chain = np.array(chain, np.int64).reshape(-1, 2)
         self.skip = np.array(sorted(skip), np.int64).reshape(-1, 2)
-        # what inference links besides: each free token and the first base token of each kind that is alike
-        label, first, direct = self.fixed(spans), {}, set()
-        keys = [{*alike(n), more.get(i)} - {None} for i, n in enumerate(self.nodes)]
-        for i in np.flatnonzero(label).tolist():
-            for k in keys[i]:
-                first.setdefault(k, {}).setdefault(label[i], i)
-        for i in np.flatnonzero(label == 0).tolist():
-            for k in keys[i]:
-                direct.update((min(i, j), max(i, j)) for j in first.get(k, {}).values())
-        self.direct = np.array(sorted(direct - skip), np.int64).reshape(-1, 2)
 
     def fixed(self, spans: list[tuple[int, str, int]]) -> np.ndarray:
         """The label that base spans give each token: 0 none, else kind + 1."""
@@ -190,63 +265,123 @@ def _softmax(v: np.ndarray) -> np.ndarray:
     return v / v.sum(axis=-1, keepdims=True)
 
 
-def fit(texts: list[str | None], steps: int = 600, rate: float = 0.5) -> Weights:
-    """Pseudo-likelihood of each token's label given its features and its neighbours' labels."""
-    xs, ys, cs, ss = [], [], [], []
-    for text in texts:
-        text = text or ""
-        if "@" not in text and not _DIGIT.search(text):
-            continue
-        spans = base_spans(text)
-        g = Graph(text, spans)
-        if not len(g.nodes):
-            continue
-        y = g.fixed(spans)
-        near = [np.zeros((len(y), _L)), np.zeros((len(y), _L))]
-        for links, count in ((g.chain, near[0]), (g.skip, near[1])):
-            for i, j in links.tolist():
-                count[i, y[j]] += 1
-                count[j, y[i]] += 1
-        xs.append(g.x), ys.append(y), cs.append(near[0]), ss.append(near[1])
-        # repetitions are rare in some corpora: tokens that could repeat do so once more, without what the patterns look at
-        twin = np.array([i for i, n in enumerate(g.nodes) if alike(n)], np.int64)
-        if len(twin):
-            x = g.x[twin].copy()
-            x[:, [1, 3, 4]] = 0
-            x[::2, 1:] = 0
-            xs.append(x), ys.append(y[twin]), cs.append(np.zeros((len(twin), _L))), ss.append(np.eye(_L)[y[twin]])
-    unary, chain, skip = np.zeros((_FEATURES, _L)), np.zeros((_L, _L)), np.zeros((_L, _L))
-    if not xs:
-        return unary, chain, skip
-    x, y, c, s = np.concatenate(xs), np.concatenate(ys), np.concatenate(cs), np.concatenate(ss)
-    rng = np.random.default_rng(11)
-    # some tokens lose what the patterns look at, as their missed forms do, and must go by their likes
-    blind = rng.random(len(y)) < 0.3
-    x = x.copy()
-    x[np.ix_(blind, [1, 3, 4])] = 0
+def reformed(kind: str, span: str, draw: random.Random) -> str:
+    """A base span in another form that the patterns needn't find."""
+    if kind == "email":
+        local, domain = span.split("@", 1)
+        return draw.choice([f"{local} at {domain.replace('.', ' dot ')}", f"{local}(at){domain}", f"{local}[at]{domain.replace('.', '[dot]')}", f"{local}@{domain.split('.')[0]}", local])
+    digits = "".join(_NUMBER.findall(span))
+    if kind == "ip":
+        return draw.choice([",", "-", "[.]", " . ", " ", ":"]).join(_NUMBER.findall(span))
+    if kind == "card":
+        return draw.choice([".", "/", "_", "  ", " - "]).join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    end = digits[-10:]
+    form = draw.choice(["({}) {}-{}", "{}-{}-{}", "{}.{}.{}", "{} {} {}", "{}/{}-{}", "{}{}{}"])
+    return draw.choice(["", "", "1 ", "1-"]) + form.format(end[:3], end[3:6], end[6:])
+
+
+def crowd(draw: random.Random) -> list[tuple[str, str | None]]:
+    """Numbers that stand side by side, where the patterns may take them for one, and their kinds (None: another number)."""
+    number = lambda n: "".join(str(draw.randrange(10)) for _ in range(n))
+    out = []
+    for kind in draw.choices(["card", None, "ip", "phone"], k=draw.randrange(2, 4)):
+        if kind == "ip":
+            part = ".".join(str(draw.randrange(256)) for _ in range(4))
+        elif kind == "phone":
+            part = f"+{draw.randrange(1, 50)} ({number(3)}) {number(3)}-{number(4)}"
+        else:
+            part = next(x for x in iter(lambda: number(16), None) if luhn(x) == (kind == "card"))
+        out.append((part, kind))
+    return out
+
+
+def planted(text: str, spans: list[tuple[int, str, int]], draw: random.Random) -> tuple[str, list[tuple[int, str, int]]]:
+    """text and behind it some of its spans in another form, by chance beside the same form of other digits, and a crowd of numbers; and the spans of what is personal data there."""
+    between = [m[0] for m in _TOKEN.finditer(text[:2000]) if m[0].isalpha()] or ["and"]
+    out, added = text, []
+    for s, kind, e in draw.sample(spans, min(2, len(spans))):
+        form = reformed(kind, text[s:e], draw)
+        other = "".join(str(draw.randrange(10)) if c.isdigit() else draw.choice("aeionrst") if kind == "email" and c.isalpha() else c for c in reformed(kind, text[s:e], draw))
+        parts = [(form, True), *([(other, False)] if draw.random() < 0.6 else [])]
+        draw.shuffle(parts)
+        for part, real in parts:
+            out += " " + " ".join(draw.choice(between) for _ in range(draw.randrange(1, 4))) + " "
+            if real:
+                # of an address that is spelt out, the local part is what is labelled
+                added.append((len(out), kind, len(out) + len(part.split(" ")[0] if kind == "email" else part)))
+            out += part
+    out += " " + draw.choice(between)
+    for part, kind in crowd(draw):
+        out += " " + part
+        if kind:
+            added.append((len(out) - len(part), kind, len(out)))
+    return out + " " + draw.choice(between), added
+
+
+Example = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def example(text: str, added: list[tuple[int, str, int]] = ()) -> Example | None:
+    """Features, labels and how many chain and skip neighbours have each label, of the tokens of a text."""
+    spans = base_spans(text)
+    g = Graph(text, spans)
+    if not len(g.nodes):
+        return None
+    y = g.fixed(spans)
+    y = np.where(y > 0, y, g.fixed(list(added)))
+    near = [np.zeros((len(y), _L)), np.zeros((len(y), _L))]
+    for links, count in ((g.chain, near[0]), (g.skip, near[1])):
+        np.add.at(count, (links[:, 0], y[links[:, 1]]), 1)
+        np.add.at(count, (links[:, 1], y[links[:, 0]]), 1)
+    if len(y) > NODES:
+        on = np.random.default_rng(len(y)).choice(len(y), NODES, replace=False)
+        return g.x[on], y[on], near[0][on], near[1][on]
+    return g.x, y, near[0], near[1]
+
+
+def examples(text: str | None) -> list[Example]:
+    """The text as it is, and, if it has base spans, three times with other forms planted."""
+    if not text or ("@" not in text and not _DIGIT.search(text)):
+        return []
+    spans = base_spans(text)
+    draw = random.Random(len(text))
+    return [x for x in [example(text), *(example(*planted(text, spans, draw)) for _ in range(3 if spans else 0))] if x]
+
+
+def fit(texts: list[str | None]) -> Weights:
+    return solve([x for t in texts for x in examples(t)])
+
+
+def solve(got: list[Example], steps: int = 500, rate: float = 0.1, ridge: float = 2e-4) -> Weights:
+    """Pseudo-likelihood of each token's label given its features and its neighbours' labels, by Adam steps over all tokens."""
+    shapes = [(_FEATURES, _L), (_L, _L), (_L, _L)]
+    if not got:
+        return tuple(np.zeros(x) for x in shapes)
+    x, y, c, s = (np.concatenate([g[i] for g in got]) for i in range(4))
     hot = np.eye(_L)[y]
-    weight = np.where(y > 0, 1.0, max(1.0, (y > 0).sum()) / max(1.0, (y == 0).sum()))[:, None]
-    weight = weight / weight.sum()
-    for t in range(steps):
-        p = _softmax(x @ unary + c @ chain + s @ skip)
-        d = (p - hot) * weight
-        step = rate * 20 / (1 + t / 300)
-        unary -= step * (x.T @ d + 1e-4 * unary)
-        gc, gs = c.T @ d, s.T @ d
-        chain -= step * ((gc + gc.T) / 2 + 1e-4 * chain)
-        skip -= step * ((gs + gs.T) / 2 + 1e-4 * skip)
-    # what labels of different kinds say of each other was not seen: likes only attract, none repels
-    return unary, chain, np.maximum(skip, 0) * np.eye(_L)
-
-
-def infer(g: Graph, label: np.ndarray, weights: Weights) -> np.ndarray:
+    inputs = np.concatenate([x, c, s], axis=1)
+    w = np.zeros((inputs.shape[1], _L))
+    m, v = np.zeros_like(w), np.zeros_like(w)
+    links = [slice(_FEATURES, _FEATURES + _L), slice(_FEATURES + _L, _FEATURES + 2 * _L)]
+    for t in range(1, steps + 1):
+        d = inputs.T @ (_softmax(inputs @ w) - hot) / len(y) + ridge * w
+        for k in links:
+            d[k] = (d[k] + d[k].T) / 2  # a link is the same from both ends
+        m, v = 0.9 * m + 0.1 * d, 0.99 * v + 0.01 * d * d
+        w -= rate * (1 - t / (steps + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
+        for k in links:
+            w[k] = (w[k] + w[k].T) / 2
+    return w[:_FEATURES], w[links[0]], w[links[1]]
+
+
+def infer(g: Graph, label: np.ndarray, weights: Weights, settled: float = SETTLED) -> np.ndarray:
     """Probabilities of each token's labels by loopy message passing until it settles; labels over 0 are fixed."""
     unary, chain, skip = weights
     u = g.x @ unary
     u = u - u.max(axis=1, keepdims=True)
     u[label > 0] = -30
     u[np.flatnonzero(label > 0), label[label > 0]] = 0
-    links = np.concatenate([g.chain, g.skip, g.direct])
+    links = np.concatenate([g.chain, g.skip])
     if not len(links):
         return _softmax(u)
     src = np.concatenate([links[:, 0], links[:, 1]])
@@ -255,7 +390,7 @@ def infer(g: Graph, label: np.ndarray, weights: Weights) -> np.ndarray:
     back = np.concatenate([np.arange(m, 2 * m), np.arange(m)])
     pair = np.where((np.arange(2 * m) % m < len(g.chain))[:, None, None], chain, skip)
     msg = np.zeros((2 * m, _L))
-    for t in range(ROUNDS + 2 * len(u)):  # a path is no longer than the tokens; messages that swing end then
+    for t in range(8 * ROUNDS + 2 * len(u)):  # a path is no longer than the tokens; messages that swing end then
         before = msg
         total = u.copy()
         np.add.at(total, dst, msg)
@@ -264,28 +399,43 @@ def infer(g: Graph, label: np.ndarray, weights: Weights) -> np.ndarray:
         top = new.max(axis=1)
         new = top + np.log(np.exp(new - top[:, None, :]).sum(axis=1))
         msg = 0.5 * msg + 0.5 * (new - new.max(axis=1, keepdims=True))
-        if t >= ROUNDS and np.abs(msg - before).max() < SETTLED:
+        if t >= ROUNDS and np.abs(msg - before).max() < settled:
             break
     total = u.copy()
     np.add.at(total, dst, msg)
     return _softmax(total)
 
 
+def _joint(g: Graph, guess: np.ndarray, add: np.ndarray) -> list[tuple[int, str, int]]:
+    """Spans of added tokens: neighbours of one kind are one span as far as it has that kind's digits."""
+    most = {"phone": 15, "card": 19, "ip": 12, "email": 0}
+    out: list[tuple[int, str, int]] = []
+    last = -2
+    for i in add.tolist():
+        s, e, _ = g.nodes[i]
+        kind = KINDS[guess[i] - 1]
+        if out and last == i - 1 and out[-1][1] == kind and s - out[-1][2] <= 3:
+            numbers = _NUMBER.findall(g.text[out[-1][0] : e])
+            if sum(map(len, numbers)) <= most[kind] and (kind != "ip" or len(numbers) <= 4):
+                out[-1] = (out[-1][0], kind, e)
+                last = i
+                continue
+        out.append((s, kind, e))
+        last = i
+    return out
+
+
 def all_spans(text: str, weights: Weights) -> tuple[list, list]:
     """Base spans, and all spans: base ones and those that the field adds beside them."""
     base = base_spans(text)
-    if not base:  # nothing to be consistent with
-        return base, base
     g = Graph(text, base)
-    if not len(g.skip):
-        return base, base
     label = g.fixed(base)
+    if not len(label) or label.all():
+        return base, base
     p = infer(g, label, weights)
-    linked = np.zeros(len(label), bool)
-    linked[g.skip.ravel()] = True
     guess = p.argmax(axis=1)
-    add = np.flatnonzero((label == 0) & linked & (guess > 0) & (p.max(axis=1) >= SURE))
-    return base, sorted(base + [(g.nodes[i][0], KINDS[guess[i] - 1], g.nodes[i][1]) for i in add.tolist()], key=lambda x: (x[0], KINDS.index(x[1])))
+    add = np.flatnonzero((label == 0) & (guess > 0) & (p.max(axis=1) >= SURE))
+    return base, sorted(base + _joint(g, guess, add), key=lambda x: (x[0], KINDS.index(x[1])))
 
 
 def found(docs: DataFrame, weights: Weights, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -310,12 +460,26 @@ def found(docs: DataFrame, weights: Weights, key: str = "doc_id", text: str = "t
 
 
 def trained(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = SAMPLE) -> Weights:
-    """Weights from at most `most` texts that hold an at sign or a long number, those of least digests."""
+    """Weights from at most `most` texts that hold an at sign or a long number, those of least digests.
+
+    Executors make the examples of these texts; the driver gets their numbers alone.
+    """
     likely = docs.where(F.col(text).rlike("@|[0-9]{6}|[0-9][.][0-9]"))
-    draw = F.xxhash64(F.col(key).cast("string"), F.lit("pii"))
-    ids = likely.select(F.col(key).alias("key"), draw.alias("draw")).orderBy("draw", "key").limit(most).select("key").distinct()
-    got = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(ids), "key", "left_semi")  # `most` rows at most
-    return fit([r.text for r in got.orderBy("key", "text").limit(2 * most).collect()])
+    row = F.xxhash64(F.col(key).cast("string"), F.col(text), F.lit("pii"))
+    picked = likely.select(row.alias("row")).orderBy("row").limit(most).distinct()
+    got = likely.select(row.alias("row"), F.col(text).alias("text")).join(F.broadcast(picked), "row", "left_semi")  # `most` rows at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, t in zip(batch.column(0), batch.column(1), strict=True):
+                for i, e in enumerate(examples(t.as_py())):
+                    flat_ = np.concatenate([e[0], e[1][:, None], e[2], e[3]], axis=1).astype("<f4")
+                    yield pa.RecordBatch.from_arrays([pa.array([row.as_py()]), pa.array([i], pa.int32()), pa.array([flat_.tobytes()], pa.binary())], names=["row", "i", "example"])
+
+    rows = sorted({(r.row, r.i): bytes(r.example) for r in got.mapInArrow(tidy(run), "row long, i int, example binary").collect()}.items())
+    flat_ = [np.frombuffer(raw, "<f4").reshape(-1, _FEATURES + 1 + 2 * _L).astype(np.float64) for _, raw in rows]
+    cut = _FEATURES + 1
+    return solve([(f[:, :_FEATURES], f[:, _FEATURES].astype(np.int64), f[:, cut : cut + _L], f[:, cut + _L :]) for f in flat_])
 
 
 def masked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
