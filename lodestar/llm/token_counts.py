@@ -31,7 +31,7 @@ from .common import flat, slices, table, word_hashes
 
 OVER = 4096
 #: Distinct pre-tokens whose counts a worker remembers, each of so many bytes at most.
-REMEMBER, REMEMBER_BYTES = 1 << 18, 64
+REMEMBER, REMEMBER_BYTES = 1 << 18, 160
 _SPACE = "▁"
 
 
@@ -58,17 +58,43 @@ class Merger:
         self.keys = np.array(sorted(pairs), np.int64)
         self.rank = np.array([pairs[k][0] for k in self.keys.tolist()] + [1 << 30], np.int64)
         self.made = np.array([pairs[k][1] for k in self.keys.tolist()] + [-1], np.int64)
-        self.pairs = pairs
+        self._table()
         self.bmp = np.full(0x110000, -1, np.int32)
         for c, i in self.char.items():
             self.bmp[c] = i
 
+    def _table(self) -> None:
+        """Open addressing of the pairs: a slot is tried after the other until one is free, at most self.tries."""
+        self.bits = max(4, int(len(self.keys) * 6).bit_length())
+        self.slots, self.at = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int64)
+        left, self.tries = np.arange(len(self.keys)), 0
+        while len(left):
+            slot = (self._slot(self.keys[left]) + self.tries) & ((1 << self.bits) - 1)
+            free = np.flatnonzero(self.slots[slot] < 0)
+            took, first = np.unique(slot[free], return_index=True)
+            own = free[first]
+            self.slots[took], self.at[took] = self.keys[left[own]], left[own]
+            left = np.delete(left, own)
+            self.tries += 1
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
     def look(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Index of each pair in the tables, or of their last entry."""
-        key = np.where((a >= 0) & (b >= 0), a * self.n + b, -1)
-        at = np.searchsorted(self.keys, key)
-        at[at == len(self.keys)] = 0
-        return np.where(self.keys[at] == key, at, len(self.keys)) if len(self.keys) else np.zeros(len(key), np.int64)
+        out = np.full(len(a), len(self.keys), np.int64)
+        left = np.flatnonzero((a >= 0) & (b >= 0))
+        key = a[left] * self.n + b[left]
+        slot = self._slot(key)
+        for _ in range(self.tries):
+            got = self.slots[slot]
+            hit = got == key
+            out[left[hit]] = self.at[slot[hit]]
+            on = np.flatnonzero(~hit & (got >= 0))
+            if not len(on):
+                break
+            left, key, slot = left[on], key[on], (slot[on] + 1) & ((1 << self.bits) - 1)
+        return out
 
     def counts(self, chars: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Tokens of each sequence of code points; off has n + 1 entries, no sequence is empty."""
