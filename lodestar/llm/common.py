@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from py4j.protocol import Py4JError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that are hashed at once; a longer document makes a slice of its own.
@@ -133,6 +133,16 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+#: Rows up to which what is to be dropped is broadcast.
+DROP_ROWS = 1 << 20
+
+
+def without(docs: DataFrame, bad: DataFrame, key: Column, digest: Column) -> DataFrame:
+    """docs without the rows whose key (null too) and digest are in bad (key, digest); rows that share a key go each for themselves."""
+    bad = bounded_broadcast(bad, DROP_ROWS)
+    return docs.join(bad, key.eqNullSafe(bad["key"]) & (digest == bad["digest"]), "left_anti")
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (n + 1) of a string column; null reads as empty."""
     column = column.cast(pa.large_binary())

@@ -2,10 +2,11 @@
 
 Counts of ORDER-grams come from all trusted text; lower orders take continuation
 counts. Discounts, context totals and interpolated probabilities are made by
-joins of count tables that are sharded by their keys. A document's perplexity
-then follows in one of two equal ways: as long as the tables have MODEL_ROWS rows
-at most they are broadcast as sorted arrays; beyond, each document's n-grams are
-joined with the shards. A document is rejected if its perplexity exceeds its
+joins of count tables that are sharded by their keys. Documents are read in blocks;
+a block asks for its distinct n-grams, these are joined with the shards (first each
+n-gram of the corpus once, with all orders, then the blocks with its probability),
+and the answers meet their block again, whose documents they score. No machine
+holds a model, at any size. A document is rejected if its perplexity exceeds its
 language's threshold: a quantile over all its trusted documents, each scored by a
 model of the other FOLDS - 1 parts of the trusted text. A language with too few
 trusted documents for that quantile takes its median and the quantile of all
@@ -14,8 +15,10 @@ score takes the quantile of all trusted documents.
 
 Edge cases: null and empty texts have perplexity 1 and are kept; a null language
 is a language of its own; a language without trusted text has no threshold and
-keeps all; repeated rows are judged alike; extra columns pass through classified().
-Characters over U+FFFE count as one symbol.
+keeps all; every row is judged by its own text, so repeated rows are judged alike
+and rows that share an identifier, or have none, each for themselves; an empty table
+gives an empty result; extra columns pass through classified(), whatever their
+names. Characters over U+FFFB count as one symbol.
 """
 
 from __future__ import annotations
@@ -28,11 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, counted, flat, free, slices, staged, table, tidy
+from .common import bounded_broadcast, counted, flat, scratch, slices, staged, table, tidy, trim, without
 
 ORDER = 4
-#: Most rows of the probability tables that are broadcast (12 bytes each).
-MODEL_ROWS = 1 << 22
+#: Bytes of text of a block of documents (a longer document is a block of its own).
+BLOCK = 8 << 20
+#: Rows up to which the tables of the two lowest orders are broadcast.
+LOW_ROWS = 1 << 18
 #: Rows up to which the trusted identifiers are broadcast.
 LABEL_ROWS = 1 << 20
 #: Parts of the trusted documents, each scored without itself (10 at most: a digit names one), the thresholds' quantile, and the room above it.
@@ -53,8 +58,8 @@ def grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     # each text with content gets ORDER - 1 starts before and one end after it
     n = np.where(filled, sizes + ORDER, 0)
     base = np.concatenate([[0], np.cumsum(n)])
-    sym = np.ones(base[-1], np.uint64)
-    sym[np.arange(len(cp)) + np.repeat(base[:-1] + pad - at[:-1], sizes)] = np.minimum(cp, 65535)
+    sym = np.ones(base[-1], np.uint64)  # 1 starts a text, 2 ends it, characters follow
+    sym[np.arange(len(cp)) + np.repeat(base[:-1] + pad - at[:-1], sizes)] = np.minimum(cp, 65532) + 3
     sym[base[1:][filled] - 1] = 2
     key = sym.copy()
     for k in range(1, ORDER):
@@ -139,99 +144,89 @@ def model_of(level: DataFrame) -> DataFrame:
     return staged(reduce(DataFrame.union, parts), "kneser-ney")
 
 
-def _arrays(m: DataFrame) -> dict:
-    got = m.select("lang", F.when(F.col("kind") == "p", F.col("n")).otherwise(-1 - F.col("n")).cast("byte").alias("at"), "g", F.col("v").cast("float").alias("v")).toArrow()
-    lang = got.column("lang").combine_chunks().dictionary_encode(null_encoding="encode")  # an index a row, no Python object
-    names, code = lang.dictionary.to_pylist(), lang.indices.to_numpy(zero_copy_only=False)
-    at, g, v = (got.column(c).to_numpy() for c in ("at", "g", "v"))
-    del got, lang
-    out: dict = {}
-    for i, name in enumerate(names):
-        for k in "pb":
-            for size in range(ORDER + 1):
-                on = np.flatnonzero((code == i) & (at == (size if k == "p" else -1 - size)))
-                keys = g[on].astype(np.uint64)
-                order = np.argsort(keys)
-                out[name, k, size] = (keys[order], v[on[order]])
-    return out
-
-
-def _find(t: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(t[0]):
-        return np.zeros(len(keys), bool), np.zeros(len(keys), np.float32)
-    at = np.searchsorted(t[0], keys)
-    at[at == len(t[0])] = 0
-    return t[0][at] == keys, t[1][at]
-
-
-def probabilities(tables: dict, lang: str | None, key: np.ndarray) -> np.ndarray:
-    p, left, weight = np.zeros(len(key)), np.arange(len(key)), np.ones(len(key))
-    for n in range(ORDER, 0, -1):
-        k = key[left] & np.uint64((1 << 16 * n) - 1)
-        hit, v = _find(tables[lang, "p", n], k)
-        p[left[hit]] = weight[left[hit]] * v[hit]
-        left, k = left[~hit], k[~hit]
-        if not len(left):
-            return p
-        seen, b = _find(tables[lang, "b", n - 1], k >> np.uint64(16))
-        weight[left[seen]] *= b[seen]
-    p[left] = weight[left] * tables[lang, "p", 0][1][0]
-    return p
-
-
-SCORED = "key {}, lang string, n_tokens long, logprob double"
-
-
-def scores(docs: DataFrame, m: DataFrame, model_rows: int = MODEL_ROWS) -> DataFrame:
-    """key, lang, n_tokens (symbols and the end), logprob (log10; null without a model) of docs (key, lang, text)."""
-    kind = docs.schema["key"].dataType.simpleString()
-    if m.count() > model_rows:
-        return _joined(docs, m)
-    sent = docs.sparkSession.sparkContext.broadcast(_arrays(m))
-    free()
+def _blocks(docs: DataFrame) -> DataFrame:
+    """block, payload (its rows of key, lang, text) and asks (lang, g: its distinct ORDER-grams, and 0) of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = sent.value
         for batch in batches:
-            n_tokens, logprob = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
-            for name, own, key, n in _by_lang(batch):
-                n_tokens[own] = n
-                if (name, "p", 0) not in tables or not len(tables[name, "p", 0][0]):
-                    logprob[own] = np.nan
-                elif len(key):
-                    total = np.concatenate([[0], np.cumsum(np.log10(probabilities(tables, name, key)))])
-                    end = np.cumsum(n)
-                    logprob[own] = total[end] - total[end - n]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_tokens), pa.array(logprob, pa.float64(), mask=np.isnan(logprob))], names=["key", "lang", "n_tokens", "logprob"])
-
-    return docs.mapInArrow(tidy(run), SCORED.format(kind))
-
-
-def _joined(docs: DataFrame, m: DataFrame) -> DataFrame:
-    """scores() by joining each document's distinct n-grams with the sharded tables."""
-    kind = docs.schema["key"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, own, key, n in _by_lang(batch):
-                end = np.cumsum(n)
-                for r, e, c in zip(own.tolist(), end.tolist(), n.tolist(), strict=True):
-                    k, times = counted(key[e - c : e])
-                    k, times = (k, times) if c else (np.zeros(1, np.uint64), np.zeros(1, np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[r].as_py()] * len(k), batch.schema.types[0]), pa.array([name] * len(k), pa.string()), pa.array([c] * len(k), pa.int64()), pa.array(k.astype(np.int64)), pa.array(times)], names=["key", "lang", "n", "g", "times"])
-
-    g = docs.mapInArrow(tidy(run), f"key {kind}, lang string, n long, g long, times long")
-    for n in range(0, ORDER + 1):
-        for k in "pb" if n < ORDER else "p":
-            t = m.where((F.col("kind") == k) & (F.col("n") == n)).select(F.col("lang").alias("lang_"), F.col("g").alias("g_"), F.col("v").alias(f"{k}{n}"))
+            _, off = flat(batch.column(2))
+            for i, j in slices(off, BLOCK):
+                own = batch.slice(i, j - i)
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                    w.write_batch(own)
+                asks: dict[str, np.ndarray] = {}
+                for name, _, key, _ in _by_lang(own):
+                    asks[_code(name)] = counted(np.concatenate([asks.get(_code(name), np.zeros(1, np.uint64)), key]))[0]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        own.column(3).slice(0, 1),
+                        pa.array([sink.getvalue().to_pybytes()], pa.binary()),
+                        pa.array([list(asks)], pa.list_(pa.string())),
+                        pa.array([[a.astype(np.int64) for a in asks.values()]], pa.list_(pa.list_(pa.int64()))),
+                    ],
+                    names=["block", "payload", "langs", "grams"],
+                )
+
+    cols = docs.select("key", "lang", "text", F.monotonically_increasing_id().alias("block"))
+    return staged(cols.mapInArrow(tidy(run), "block long, payload binary, langs array<string>, grams array<array<long>>"), "blocks")
+
+
+def _code(lang: str | None) -> str:
+    """A language's name that is never null."""
+    return "" if lang is None else "=" + lang
+
+
+def answers(asked: DataFrame, m: DataFrame) -> DataFrame:
+    """lang, g, v for the distinct (lang, g) of asked: the interpolated probability by the shards of m; 1 for g = 0. Languages without a model give none."""
+    code = F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit(""))
+    level = lambda k, n: m.where((F.col("kind") == k) & (F.col("n") == n)).select(code.alias("lang"), F.col("g").alias("at"), F.col("v").alias(f"{k}{n}"))
+    g = asked.join(bounded_broadcast(level("p", 0).drop("at"), LOW_ROWS), "lang")  # a row for each language that has a model
+    for n in range(ORDER + 1):
+        for k in "pb" if 0 < n < ORDER else "b" if not n else "p":
             own = F.shiftrightunsigned("g", 16) if k == "b" else F.col("g")
             own = own.bitwiseAND((1 << 16 * n) - 1) if n < ORDER else own
-            g = g.join(t, F.col("lang").eqNullSafe(F.col("lang_")) & (own == F.col("g_")), "left").drop("lang_", "g_")
+            t = level(k, n)
+            g = g.withColumn("at", own).join(bounded_broadcast(t, LOW_ROWS) if n < 2 else t, ["lang", "at"], "left").drop("at")
     p = F.col("p0")
     for n in range(1, ORDER + 1):
         p = F.coalesce(F.col(f"p{n}"), F.coalesce(F.col(f"b{n - 1}"), F.lit(1.0)) * p)
-    sums = g.groupBy("key", "lang", "n").agg(F.sum(F.when(F.col("times") > 0, F.col("times") * F.log10(p)).otherwise(F.when(F.col("p0").isNotNull(), 0.0))).alias("logprob"))
-    return sums.select("key", "lang", F.col("n").alias("n_tokens"), "logprob")
+    return g.select("lang", "g", F.when(F.col("g") == 0, 1.0).otherwise(p).alias("v"))
+
+
+def scores(docs: DataFrame, m: DataFrame) -> DataFrame:
+    """key, lang, n_tokens (symbols and the end), logprob (log10; null without a model) of each row of docs (key, lang, text)."""
+    schema = docs.select("key", "lang").schema.add("n_tokens", "long").add("logprob", "double")
+    blocks = _blocks(docs)
+    asks = blocks.select("block", F.explode(F.arrays_zip("langs", "grams")).alias("a")).select("block", F.col("a.langs").alias("lang"), F.explode("a.grams").alias("g"))
+    known = staged(answers(asks.select("lang", "g").distinct(), m), "answers")
+
+    def score(texts: pa.Table, told: pa.Table) -> pa.Table:
+        lang = told.column("lang").combine_chunks().dictionary_encode()
+        names, code = lang.dictionary.to_pylist(), lang.indices.to_numpy(zero_copy_only=False)
+        g, v = told.column("g").to_numpy().view(np.uint64), told.column("v").to_numpy()
+        tables = {}
+        for i, name in enumerate(names):
+            own = np.flatnonzero(code == i)
+            own = own[np.argsort(g[own])]
+            tables[name] = g[own], np.log10(v[own])
+        out = []
+        for raw in texts.column("payload"):
+            batch = pa.ipc.open_stream(raw.as_buffer()).read_all().combine_chunks().to_batches()
+            for rows in batch:
+                n_tokens, logprob = np.zeros(rows.num_rows, np.int64), np.full(rows.num_rows, np.nan)
+                for name, own, key, n in _by_lang(rows):
+                    n_tokens[own] = n
+                    if (t := tables.get(_code(name))) is not None:
+                        total = np.concatenate([[0], np.cumsum(t[1][np.searchsorted(t[0], key)])])
+                        end = np.cumsum(n)
+                        logprob[own] = total[end] - total[end - n]
+                out.append(pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(n_tokens), pa.array(logprob, pa.float64(), mask=np.isnan(logprob))], names=["key", "lang", "n_tokens", "logprob"]))
+        trim()
+        return pa.Table.from_batches(out)
+
+    told = asks.join(known, ["lang", "g"]).select(F.col("block").alias("of"), "lang", "g", "v")
+    return blocks.select("block", "payload").groupBy("block").cogroup(told.groupBy("of")).applyInArrow(score, schema)
 
 
 def limits(steps: DataFrame) -> tuple[DataFrame, int | None]:
@@ -250,36 +245,49 @@ def limits(steps: DataFrame) -> tuple[DataFrame, int | None]:
     return own.select("lang", F.when(few, F.col("middle") + int(over.away)).otherwise(F.col("own")).alias("step")), int(over.step)
 
 
-def judged(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """key, lang, n_tokens, logprob, perplexity, threshold, keep for each row of docs. labels: key and quality (1: trusted)."""
-    base = docs.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    trusted = labels.where("quality = 1").select(F.col(key).alias("key")).distinct()
-    own = base.join(bounded_broadcast(trusted, LABEL_ROWS), "key", "left_semi").withColumn("fold", F.pmod(F.xxhash64("key"), F.lit(FOLDS)).cast("int"))
+def _judged(base: DataFrame) -> DataFrame:
+    """key, lang, n_tokens, logprob, perplexity, threshold, keep for each row of base (key, lang, text, trusted)."""
     # a language's model without part i goes by the name of "i:" and the language, that of all parts by FOLDS
     tag = lambda i: F.concat(i.cast("string"), F.lit(":"), F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("")))
     bare = F.when(F.length("lang") > 2, F.substring("lang", 4, 1 << 30)).alias("lang")
-    each = counts(own.withColumn("lang", tag(F.col("fold")))).select(F.substring("lang", 1, 1).cast("int").alias("fold"), bare, "g", "c")
+    own = base.where("trusted").withColumn("fold", F.pmod(F.xxhash64("key", "text"), F.lit(FOLDS)).cast("int"))
+    each = counts(own.select("key", tag(F.col("fold")).alias("lang"), "text")).select(F.substring("lang", 1, 1).cast("int").alias("fold"), bare, "g", "c")
     parts = F.explode(F.filter(F.array(*map(F.lit, range(FOLDS + 1))), lambda i: i != F.col("fold")))
     every = each.select("lang", "g", "c", parts.alias("without")).groupBy(tag(F.col("without")).alias("lang"), "g").agg(F.sum("c").alias("c"))
     m = model_of(staged(every, "grams"))
-    without = lambda i: m.where(F.col("lang").startswith(f"{i}:")).select(bare, "kind", "n", "g", "v")
-    judge = lambda s: s.withColumn("perplexity", F.when(F.col("n_tokens") == 0, 1.0).otherwise(F.pow(F.lit(10.0), -F.col("logprob") / F.col("n_tokens"))))
-    got = staged(judge(scores(base, without(FOLDS))), "scores")
+    # all rows by the model of all parts, and the trusted ones aside by the model without their part
+    twice = base.select("key", F.lit(False).alias("aside"), tag(F.lit(FOLDS)).alias("lang"), "text").union(own.select("key", F.lit(True).alias("aside"), tag(F.col("fold")).alias("lang"), "text"))
+    got = scores(twice.select(F.struct("key", "aside").alias("key"), "lang", "text"), m).select("key.*", bare, "n_tokens", "logprob")
+    got = staged(got.withColumn("perplexity", F.when(F.col("n_tokens") == 0, 1.0).otherwise(F.pow(F.lit(10.0), -F.col("logprob") / F.col("n_tokens")))), "scores")
     # quantiles by counts of small steps, which add up over tasks in any order
-    aside = reduce(DataFrame.union, [scores(own.where(F.col("fold") == i).select("key", "lang", "text"), without(i)) for i in range(FOLDS)])
-    steps = judge(aside).where("n_tokens > 0 AND perplexity IS NOT NULL").groupBy("lang", F.floor(F.log10("perplexity") / STEP).cast("long").alias("step")).agg(F.count(F.lit(1)).alias("c"))
+    steps = got.where("aside AND n_tokens > 0 AND perplexity IS NOT NULL").groupBy("lang", F.floor(F.log10("perplexity") / STEP).cast("long").alias("step")).agg(F.count(F.lit(1)).alias("c"))
     limit, pooled = limits(staged(steps, "steps"))
     at = lambda step: F.pow(F.lit(10.0), (step + 1) * STEP) * ROOM
     limit = limit.select(F.col("lang").alias("lang_"), at(F.col("step")).alias("threshold"))
-    out = got.join(bounded_broadcast(staged(limit, "thresholds"), 1 << 14), F.col("lang").eqNullSafe(F.col("lang_")), "left").drop("lang_")
+    out = got.where("NOT aside").drop("aside").join(bounded_broadcast(staged(limit, "thresholds"), 1 << 14), F.col("lang").eqNullSafe(F.col("lang_")), "left").drop("lang_")
     out = out.withColumn("threshold", F.coalesce("threshold", F.when(F.col("logprob").isNotNull(), at(F.lit(pooled).cast("long")))))
-    return out.withColumn("keep", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))).withColumnRenamed("key", key)
+    return out.withColumn("keep", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)))
+
+
+def _marked(docs: DataFrame, labels: DataFrame, key: str, text: str, lang: str, *more: F.Column) -> DataFrame:
+    trusted = labels.where("quality = 1").select(F.col(key).alias("key")).distinct().withColumn("mark", F.lit(True))
+    base = docs.select(F.col(key).alias("key"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), *more)
+    return base.join(bounded_broadcast(trusted, LABEL_ROWS), "key", "left").withColumn("trusted", F.coalesce("mark", F.lit(False))).drop("mark")
+
+
+def judged(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """key, lang, n_tokens, logprob, perplexity, threshold, keep for each row of docs. labels: key and quality (1: trusted)."""
+    with scratch(docs.sparkSession) as kept:
+        return kept(_judged(_marked(docs, labels, key, text, lang)).withColumnRenamed("key", key), "judged")
 
 
 def classified(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """docs without those that the classifier rejects (all rows of a key, if it rejects one)."""
-    bad = judged(docs, labels, key, text, lang).where("NOT keep").select(key).distinct()
-    return docs.join(bounded_broadcast(staged(bad, "rejected"), LABEL_ROWS), key, "left_anti")
+    """docs without those that the classifier rejects: rows that share a key, or have none, go by their own text and language."""
+    with scratch(docs.sparkSession) as kept:
+        base = _marked(docs, labels, key, text, lang)
+        got = _judged(base.withColumn("key", F.struct("key", F.xxhash64("text", "lang").alias("digest"))))
+        bad = kept(got.where("NOT keep").select("key.key", "key.digest").distinct(), "rejected")
+    return without(docs, bad, docs[key], F.xxhash64(docs[text], docs[lang].cast("string")))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

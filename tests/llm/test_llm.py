@@ -196,16 +196,10 @@ def test_personal_data_is_consistent_at_any_length():
         assert (label == 0).sum() == n and (p[label == 0].argmax(axis=1) == 4).all() and p[label == 0].max(axis=1).min() > 0.6
 
 
-def test_quality_paths_agree_and_separate(spark, sf, docs, edge):
+def test_quality_separates(spark, sf, docs, edge):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
-    base = docs.select(F.col("doc_id").alias("key"), "lang", "text")
-    m = quality.model(base.join(labels.where("quality = 1").select(F.col("doc_id").alias("key")), "key", "left_semi").limit(150))
-    some = base.limit(25)
-    one = {r.key: r.logprob for r in quality.scores(some, m).collect()}
-    two = {r.key: r.logprob for r in quality.scores(some, m, 0).collect()}
-    assert all(one[k] is two[k] is None or math.isclose(one[k], two[k], rel_tol=1e-5) for k in one)
     got = quality.judged(docs, labels).join(labels, "doc_id").toPandas()
-    assert got[got.quality == 1].keep.mean() > 0.97 and got[got.quality == 0].keep.mean() < 0.3
+    assert got[got.quality == 1].keep.mean() > 0.97 and got[got.quality == 0].keep.mean() < 0.2
     assert quality.judged(edge, labels).count() == len(EDGE) and quality.judged(docs.limit(0), labels).count() == 0
 
 
