@@ -124,8 +124,8 @@ def shards(spark: SparkSession, df: DataFrame | None = None) -> int:
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     if df is None:
         return n
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    return max(n, min(-(-size // SHARD_BYTES), 1 << 20))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return n if size >> 60 else max(n, min(-(-size // SHARD_BYTES), 1 << 20))  # Spark takes what it can't estimate for very large
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
@@ -233,7 +233,7 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     if not n:
         return words
     m = n - k + 1 if n >= k else 1
-    h = np.full(m, np.uint64(min(n, k)) * _M[6])
+    h = np.full(m, min(n, k), np.uint64) * _M[6]
     for i in range(min(n, k)):
         h += mix(words[i : i + m] + _M[i % 6]) * (_M[i % 6] + np.uint64(2 * i))
     return mix(h)

@@ -8,15 +8,20 @@ all sets, has light tokens first and heavy ones (in many sets) last by their
 frequency, so a passage that many documents share makes long lists only for
 documents that consist of such passages. A list of up to PAIRS members gives its
 pairs, a longer one links its members to one of them at first, and pairs across
-components are met afterwards only. Every pair is verified by its whole sets.
+components are met afterwards only: in blocks of members, so that a large list is
+dealt over many tasks, and by sketches, so that hardly a pair that doesn't link is
+made. Every pair is verified by its whole sets of 64-bit shingle hashes.
 
 A pair's number of shared first tokens bounds its intersection, which drops most
 pairs before verification; no bound drops a pair that links.
 
 Edge cases: null and empty texts, or texts without words, have empty sets and
 link with nothing; fewer than five words are one shingle; rows that repeat are
-links of one class; an empty table gives an empty result. Extra columns are not
-read. Digests of 64 bits merge two different sets with a chance of about n^2/2^65.
+links of one class; rows without a key link like others, and a component's name is
+its least key that isn't null (null if it has none); rows that share a key are
+looked at one by one; an empty table gives an empty result. Other columns are not
+read, and pass through deduplicated() whatever their names. Digests of 64 bits merge
+two different sets with a chance of about n^2/2^65.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, bounded_broadcast, counted, flat, free, mix, pack, shard_bounds, shards, shingle_hashes, slices, staged, table, tidy, trim, unpack, word_hashes, word_spans
+from .common import LOWER, bounded_broadcast, counted, flat, free, mix, pack, scratch, shard_bounds, shards, shingle_hashes, slices, staged, table, tidy, trim, unpack, without, word_hashes, word_spans
 from .components import components
 
 K = 5
@@ -49,6 +54,8 @@ BROADCAST_ROWS = 1 << 19
 WORDS = 16
 #: Most turns in which long lists link their members to a drawn one, before all remaining pairs are met.
 TURNS = 6
+#: Members of a long list that are one block where all remaining pairs are met.
+MEMBERS = 1024
 #: Postings a task gathers before it deals them out.
 GATHER = 1 << 20
 _SUB = np.uint64(0xD1342543DE82EF95)
@@ -97,15 +104,15 @@ def _differ(a: str, b: str) -> F.Column:
 
 
 def classes(docs: DataFrame, key: str, text: str, k: int = K) -> DataFrame:
-    """key, n_shingles, the digest of its set (null if empty) and its sketch for each document."""
+    """key, text_digest, n_shingles, the digest of its set (null if empty) and its sketch for each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [(len(s), digest(s), sketch(s)) for _, s in _sets(batch, k)]
             words = np.concatenate([g[2] for g in got]).reshape(-1, WORDS) if got else np.zeros((0, WORDS), np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), *(pa.array(np.ascontiguousarray(words[:, i])) for i in range(WORDS))], names=["key", "n", "node", *(f"s{i}" for i in range(WORDS))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), *(pa.array(np.ascontiguousarray(words[:, i])) for i in range(WORDS))], names=["key", "text_digest", "n", "node", *(f"s{i}" for i in range(WORDS))])
 
-    return docs.select(key, text).mapInArrow(tidy(run), f"key {docs.schema[key].dataType.simpleString()}, n long, node long, " + ", ".join(f"s{i} long" for i in range(WORDS)))
+    return docs.select(key, text, F.xxhash64(text)).mapInArrow(tidy(run), f"key {docs.schema[key].dataType.simpleString()}, text_digest long, n long, node long, " + ", ".join(f"s{i} long" for i in range(WORDS)))
 
 
 def _planes(a: np.ndarray) -> bytes:
@@ -134,7 +141,7 @@ def heavy_tokens(docs: DataFrame, text: str, k: int) -> DataFrame:
     Counted over the least hashes of each set, twice as many as its prefix has:
     a token further back comes into a prefix only by way of heavy ones before it.
     """
-    n = shards(docs.sparkSession)
+    n = shards(docs.sparkSession, docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -204,7 +211,7 @@ def postings(docs: DataFrame, text: str, k: int, sent: Broadcast, small: int) ->
     What follows a token in its set's order (itself included) bounds the intersection
     of a pair whose first common token it is.
     """
-    n = shards(docs.sparkSession)
+    n = shards(docs.sparkSession, docs)
 
     def keys_of(s: np.ndarray, hk: np.ndarray, hdf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if len(hk):
@@ -318,30 +325,17 @@ def lists(dealt: DataFrame) -> DataFrame:
     return dealt.groupBy("shard").applyInArrow(scan, "kind int, x long, y long, nx long, ny long, hits long, follow long")
 
 
-def _packed5(s: np.ndarray) -> bytes:
-    """The upper 40 bits of ascending hashes."""
-    return np.ascontiguousarray(s.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-
-
-def _unpacked5(raw: bytes) -> np.ndarray:
-    full = np.zeros((len(raw) // 5, 8), np.uint8)
-    full[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    return full.reshape(-1).view(">u8").astype(np.uint64)
-
-
-def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, where: DataFrame, k: int) -> DataFrame:
-    """Those of pairs (x, y) whose whole sets link. where: node and the key of one document that has its set."""
+def verified(pairs: DataFrame, pool: DataFrame, text: str, k: int) -> DataFrame:
+    """Those of pairs (x, y) whose whole sets link. pool: node and a text that has its set."""
     pairs = staged(pairs.select("x", "y").distinct(), "pairs")
     need = pairs.select(F.col("x").alias("node")).union(pairs.select(F.col("y").alias("node"))).distinct()
-    fetch = staged(where.join(need, "node", "left_semi"), "fetch")
-    own = docs.select(F.col(key).alias("key"), text).join(bounded_broadcast(fetch.select("key"), BROADCAST_ROWS), "key", "left_semi")
+    own = pool.join(bounded_broadcast(staged(need, "need"), BROADCAST_ROWS), "node", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held: list[tuple[int, bytes]] = []
             for _, s in _sets(batch, k):
-                if len(s):
-                    held.append((digest(s), _packed5(s)))
+                held.append((digest(s), pack(s)))
                 if len(held) >= 512:
                     yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.binary())], names=["node", "set"])
                     held = []
@@ -349,7 +343,7 @@ def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, where: Data
                 yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.binary())], names=["node", "set"])
 
     # repeated rows of a document would give a set twice; that only repeats a link
-    sets = own.mapInArrow(tidy(run), "node long, set binary")
+    sets = own.select("node", text).mapInArrow(tidy(run), "node long, set binary")
     right = sets.join(bounded_broadcast(pairs, BROADCAST_ROWS), F.col("node") == F.col("y")).select("x", "y", F.col("set").alias("sy"))
     left = sets.join(bounded_broadcast(pairs.select(F.col("x").alias("node")).distinct(), BROADCAST_ROWS), "node", "left_semi")
     both = right.join(left.select(F.col("node").alias("x"), F.col("set").alias("sx")).hint("merge"), "x")
@@ -359,8 +353,8 @@ def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, where: Data
             keep, last, a = [], None, None
             for x, sx, sy in zip(batch.column("x").to_pylist(), batch.column("sx"), batch.column("sy"), strict=True):
                 if x != last:
-                    last, a = x, _unpacked5(sx.as_py())
-                b = _unpacked5(sy.as_py())
+                    last, a = x, unpack(sx.as_py())
+                b = unpack(sy.as_py())
                 both = np.sort(np.concatenate([a, b]), kind="stable")
                 shared = int((both[1:] == both[:-1]).sum())
                 keep.append(DEN * shared >= NUM * (len(both) - shared))
@@ -369,13 +363,12 @@ def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, where: Data
     return both.select("x", "y", "sx", "sy").mapInArrow(tidy(test), "x long, y long").distinct()
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K) -> DataFrame:
-    """key, n_shingles, component_id (the least key of its component) for each row of docs."""
+def _components(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
+    """key, text_digest, n and comp (null for an empty set) of each row of docs."""
     known = staged(classes(docs, key, text, k), "classes")
     cols = [f"s{i}" for i in range(WORDS)]
-    one = known.where("n >= 4").groupBy("node").agg(F.min(F.struct("key", "n", *cols)).alias("o")).select("node", "o.*")
+    one = known.where("n >= 4").groupBy("node").agg(F.min(F.struct("key", "text_digest", "n", *cols)).alias("o")).select("node", "o.*")
     one = staged(one, "nodes")
-    where = one.select("node", "key")
     found = staged(heavy_tokens(docs, text, k), "tokens")
     hk, hdf, least = _heavy_list(found)
     small = boundary(known, 1.0 + least / 4)
@@ -392,63 +385,85 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     pairs = pairs.join(in_long.withColumnsRenamed({"node": "x", "more": "mx"}), "x", "left").join(in_long.withColumnsRenamed({"node": "y", "more": "my"}), "y", "left")
     need = F.ceil(F.lit(4) * (F.col("nx") + F.col("ny")) / 9)
     bound = F.col("hits") + F.least(F.coalesce("mx", F.lit(0)), F.coalesce("my", F.lit(0))) + F.ceil(F.greatest("nx", "ny") * F.lit(NUM) / DEN) - 1
-    pairs = staged(pairs.where((F.greatest("nx", "ny") <= small) | (bound >= need)).select("x", "y"), "candidates")
+    pairs = pairs.where((F.greatest("nx", "ny") <= small) | (bound >= need)).select("x", "y")
 
     side = lambda c: one.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), *(F.col(v).alias(f"{c}{v}") for v in cols))
     close = lambda a, b: 9 * _differ(f"{a}s", f"{b}s") <= F.col(f"n{a}") + F.col(f"n{b}")
-
-    def check(p: DataFrame) -> DataFrame:
+    likely = lambda p: p.select("x", "y").distinct().join(side("x"), "x").join(side("y"), "y").where(close("x", "y")).select("x", "y")
+    pairs = staged(likely(pairs), "candidates")
+    # the texts that pairs may ask for, one for each set, by key and digest as keys may repeat or be null
+    asked = pairs.select(F.explode(F.array("x", "y")).alias("node")).union(long.select("node")).distinct()
+    where = bounded_broadcast(staged(one.select("node", "key", "text_digest").join(asked, "node", "left_semi"), "fetch"), BROADCAST_ROWS)
+    pool = docs.select(F.col(key).alias("own"), F.col(text).alias("text"))
+    pool = staged(pool.join(where, F.col("own").eqNullSafe(F.col("key")) & (F.xxhash64("text") == F.col("text_digest"))).select("node", "text"), "pool")
+
+    def check(p: DataFrame, sketched: bool = False) -> DataFrame:
         """Sketches first, which drop no link, then whole sets."""
-        p = staged(p.select("x", "y").distinct(), "pairs")
-        likely = p.join(side("x"), "x").join(side("y"), "y").where(close("x", "y")).select("x", "y")
-        return staged(verified(likely, docs, key, text, where, k), "verified")
+        return staged(verified(p if sketched else likely(p), pool, "text", k), "verified")
 
     # first each node with its least partner, and the members of a long list with one of them
     first = pairs.groupBy("y").agg(F.min("x").alias("x")).select("x", "y")
     fits = (DEN * F.col("n") >= NUM * F.col("nx")) & (DEN * F.col("nx") >= NUM * F.col("n")) & (9 * F.least("follow", "fx") >= 4 * (F.col("n") + F.col("nx")))
-    pivot = long.groupBy("gid").agg(F.min(F.struct("node", "n", "follow")).alias("p")).select("gid", F.col("p.node").alias("x"), F.col("p.n").alias("nx"), F.col("p.follow").alias("fx"))
+    # a row for each list; where these are too many to send, a list with very many members is a skewed join, which Spark splits
+    of_lists = lambda df: bounded_broadcast(staged(df, "of-lists"), BROADCAST_ROWS)
+    pivot = of_lists(long.groupBy("gid").agg(F.min(F.struct("node", "n", "follow")).alias("p")).select("gid", F.col("p.node").alias("x"), F.col("p.n").alias("nx"), F.col("p.follow").alias("fx")))
     star = long.join(pivot, "gid").where((F.col("node") != F.col("x")) & fits).groupBy(F.col("node").alias("y")).agg(F.min("x").alias("x")).select("x", "y")
     links = check(first.union(star))
     turn, last = 0, False
     while True:
         comp = staged(components(links), "components")
         label = lambda df, c, comp=comp: df.join(comp.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}")), c, "left").withColumn(f"c{c}", F.coalesce(f"c{c}", F.col(c)))
-        members = label(long, "node").withColumnRenamed("cnode", "comp")
+        members = staged(label(long, "node").withColumnRenamed("cnode", "comp"), "members")
         # only lists whose members are in several components can still link
-        open_ = members.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gid")
-        left = staged(members.join(open_, "gid", "left_semi"), "open")
+        open_ = of_lists(members.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("gid", "m"))
+        left = staged(members.join(open_, "gid"), "open")
         if not last:
             # one member of each list, another each turn, draws in those near it: a large group of copies needs no pairs
             draw = F.min(F.struct(F.xxhash64("node", "gid", F.lit(turn)), "node", "n", "follow", "comp")).alias("p")
-            pivot = left.groupBy("gid").agg(draw).select("gid", F.col("p.node").alias("x"), F.col("p.n").alias("nx"), F.col("p.follow").alias("fx"), F.col("p.comp").alias("cx"))
-            more = left.join(pivot, "gid").where((F.col("comp") != F.col("cx")) & fits).select(F.least("x", "node").alias("x"), F.greatest("x", "node").alias("y"))
+            pivot = of_lists(left.groupBy("gid").agg(draw).select("gid", F.col("p.node").alias("x"), F.col("p.n").alias("nx"), F.col("p.follow").alias("fx"), F.col("p.comp").alias("cx")))
+            new = check(left.join(pivot, "gid").where((F.col("comp") != F.col("cx")) & fits).select(F.least("x", "node").alias("x"), F.greatest("x", "node").alias("y")))
         else:
             rest = label(label(pairs, "x"), "y").where("cx <> cy").select("x", "y")
-            a, b = (left.select("gid", F.col("node").alias(c), F.col("follow").alias(f"f{c}"), F.col("comp").alias(f"c{c}")).join(side(c), c) for c in "xy")
-            across = a.join(b, "gid").where((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & (DEN * F.col("nx") >= NUM * F.col("ny")) & (DEN * F.col("ny") >= NUM * F.col("nx")) & (9 * F.least("fx", "fy") >= 4 * (F.col("nx") + F.col("ny"))) & close("x", "y")).select("x", "y")
-            more = rest.union(across)
-        new = check(more)
+            # blocks of a list's members: the one side is dealt to them, the other is copied to each
+            n_blocks = F.ceil(F.col("m") / F.lit(MEMBERS)).cast("int")
+            a, b = (left.select("gid", "m", F.col("node").alias(c), F.col("follow").alias(f"f{c}"), F.col("comp").alias(f"c{c}")).join(side(c), c) for c in "xy")
+            a = a.withColumn("block", F.pmod(F.xxhash64("x"), n_blocks).cast("int")).drop("m")
+            b = b.withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1))).drop("m")
+            across = a.join(b, ["gid", "block"]).where((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & (DEN * F.col("nx") >= NUM * F.col("ny")) & (DEN * F.col("ny") >= NUM * F.col("nx")) & (9 * F.least("fx", "fy") >= 4 * (F.col("nx") + F.col("ny"))) & close("x", "y")).select("x", "y")
+            new = check(rest.union(across), True)
         links = staged(links.union(new), "links")
         if last:
             break
         turn += 1
         last = turn == TURNS or new.count() <= left.count() // 100
     comp = staged(components(links), "components")
-    named = known.select("key", "n", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least_key = named.where("comp IS NOT NULL").groupBy("comp").agg(F.min("key").alias("first"))
-    return named.join(least_key, "comp", "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("first", "key").alias("component_id"))
+    return known.select("key", "text_digest", "n", "node").join(comp, "node", "left").select("key", "text_digest", "n", F.coalesce("comp", "node").alias("comp"))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K) -> DataFrame:
+    """key, n_shingles, component_id (the least key of its component) for each row of docs."""
+    with scratch(docs.sparkSession) as kept:
+        named = staged(_components(docs, key, text, k), "named")
+        least_key = named.where("comp IS NOT NULL").groupBy("comp").agg(F.min("key").alias("first"))
+        return kept(named.join(least_key, "comp", "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("first", "key").alias("component_id")), "near-duplicates")
 
 
-def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one document, the one of least key, of each component; of equal rows one stays.
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K) -> DataFrame:
+    """docs with one row of each component: the one of least key (rows without a key come last), of equal rows one.
 
-    Documents without words are linked with nothing and all stay.
+    Rows without words are linked with nothing and all stay.
     """
-    got = staged(near_duplicates(docs, key, text), "components")
-    drop = staged(got.where(F.col(key) != F.col("component_id")).select(key).distinct(), "dropped")
-    out = docs.join(bounded_broadcast(drop, BROADCAST_ROWS), key, "left_anti")
-    again = got.groupBy(key).count().where("count > 1").limit(1).count()
-    return out.dropDuplicates([key, text]) if again else out
+    with scratch(docs.sparkSession) as kept:
+        named = staged(_components(docs, key, text, k).where("comp IS NOT NULL"), "named")
+        best = named.groupBy("comp").agg(F.min(F.struct(F.col("key").isNull(), "key", "text_digest")).alias("best"))
+        gone = named.join(best, "comp").where(~(F.col("key").eqNullSafe(F.col("best.key")) & (F.col("text_digest") == F.col("best.text_digest"))))
+        drop = kept(gone.select("key", F.col("text_digest").alias("digest")).distinct(), "dropped")
+        again = named.groupBy("key", "text_digest").count().where("count > 1").limit(1).count()
+    out = without(docs, drop, docs[key], F.xxhash64(docs[text]))
+    if not again:
+        return out
+    one = f"one_{'_'.join(docs.columns)}"  # no column of docs is called so
+    return out.withColumn(one, F.when(~F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False)), F.monotonically_increasing_id())).dropDuplicates([key, text, one]).drop(one)
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

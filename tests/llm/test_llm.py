@@ -135,7 +135,32 @@ def test_near_duplicates_edges(edge):
     assert len(got) == len(EDGE) and by[1] == (0, 1) and by[7] == (6, 7) and by[8] == (6, 7) and by[4] == (1, 4)
     assert near_duplicates.near_duplicates(edge.limit(0)).count() == 0
     kept = [r.doc_id for r in near_duplicates.deduplicated(edge).collect()]
-    assert kept.count(4) == 1 and 8 not in kept and {1, 2, 3, 7} <= set(kept)
+    assert kept.count(4) == 1 and 8 not in kept and {1, 2, 3, 7, None} <= set(kept)
+
+
+def test_near_duplicates_without_or_with_shared_keys(spark):
+    a = " ".join(f"w{i}" for i in range(40))
+    near, other, third = a + " x", " ".join(f"v{i}" for i in range(40)), "one two three four five six"
+    rows = [(None, a), (1, a), (2, near), (3, other), (3, a), (None, third), (None, third), (None, ""), (None, ""), (5, ""), (5, "")]
+    df = spark.createDataFrame([(i, t, "x", "y", 1, 2) for i, t in rows], SCHEMA + ", key string, node string, n int, digest int")
+    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates.near_duplicates(df).collect())
+    assert got == collections.Counter({(None, 36, 1): 1, (1, 36, 1): 1, (2, 37, 1): 1, (3, 36, 3): 1, (3, 36, 1): 1, (None, 2, None): 2, (None, 0, None): 2, (5, 0, 5): 2})
+    out = near_duplicates.deduplicated(df)
+    assert out.columns == df.columns
+    assert sorted(map(str, ((r.doc_id, r.text) for r in out.collect()))) == sorted(map(str, [(1, a), (3, other), (None, third), (None, ""), (None, ""), (5, ""), (5, "")]))
+
+
+@pytest.mark.parametrize(("turns", "members"), [(6, 1024), (1, 3), (1, 1024)])
+def test_near_duplicates_of_a_large_loose_group(spark, monkeypatch, turns, members):
+    monkeypatch.setattr(near_duplicates, "TURNS", turns)
+    monkeypatch.setattr(near_duplicates, "MEMBERS", members)
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(80)]
+    rows = []
+    for k in range(60):  # all share their first half, some pairs are near
+        own = base[:60] + [f"t{int(rng.integers(0, 12))}x{i}" for i in range(int(rng.integers(4, 24)))]
+        rows.append((k, " ".join(own)))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()} == brute_components(rows)
 
 
 def test_components(spark):
