@@ -6,8 +6,10 @@ of item words is mapped back to words, and to offsets of the original text.
 
 Edge cases: a null or empty text, or one without words, has no hits; an item
 without words has no window; an item of fewer words than a window is one window
-as a whole; equal windows of several items count for each of them. Extra columns
-pass through decontaminate() untouched.
+as a whole; equal windows of several items count for each of them. Each row is
+looked at for itself, also if rows repeat, share a key or have none; an empty table
+gives an empty result, and without items nothing is hit. Extra columns pass through
+decontaminate() untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
 import numpy as np
@@ -22,13 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, staged, table, tidy
+from .common import staged, table, tidy, without
 
 WINDOW = 13
-#: Bytes of item text that one automaton is built over; more items make more automata.
-BLOCK_BYTES = 16 << 20
-#: Rows up to which the keys of contaminated documents are broadcast.
-KEY_ROWS = 1 << 20
+#: Bytes of item text that one automaton is built over (a node for each character of a window); more items make more automata.
+BLOCK_BYTES = 8 << 20
 
 _CLEAN = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")  # in the original, upper case too
@@ -97,13 +98,16 @@ def hits(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "te
     """One row for each document: key, n_words, hit words, items and original spans.
 
     Items are dealt to blocks of block_bytes, each with its own broadcast automaton;
-    the usual test sets make one. With more, results are merged by document.
+    the usual test sets make one. With more, the texts are written with a number for
+    each row first, by which the blocks' results are merged.
     """
     spark = docs.sparkSession
     bench = bench.select(F.col(item).alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("t"))
     total = bench.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     blocks = max(1, -(-int(total) // block_bytes))
-    out_schema = f"{key} {docs.schema[key].dataType.simpleString()}, {SCHEMA}"
+    docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    docs = docs.withColumn("row", F.lit(0).cast("long")) if blocks == 1 else staged(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    out_schema = f"key {docs.schema['key'].dataType.simpleString()}, row long, {SCHEMA}"
     parts = []
     for b in range(blocks):
         own = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b)
@@ -123,26 +127,31 @@ def hits(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "te
                     hit.append(h)
                     items.append(sorted(who))
                     spans.append([{"start": s, "end": e} for s, e in original_spans(t, h)] if len(h) else [])
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(hit, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=[key, "n_words", "hit_words", "items", "spans"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n_words, pa.int64()), pa.array(hit, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=["key", "row", "n_words", "hit_words", "items", "spans"])
 
-        parts.append(docs.select(key, text).mapInArrow(tidy(run), out_schema))
+        parts.append(docs.mapInArrow(tidy(run), out_schema))
     if len(parts) == 1:
-        return parts[0]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        return parts[0].select(F.col("key").alias(key), "n_words", "hit_words", "items", "spans")
     union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)  # noqa: E731  as many rows a document as blocks
-    return out.groupBy(key).agg(F.first("n_words").alias("n_words"), union("hit_words"), union("items"), union("spans"))
+    every = reduce(DataFrame.unionByName, parts).groupBy("row").agg(F.first("n_words").alias("n_words"), union("hit_words"), union("items"))
+
+    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = [[{"start": s, "end": e} for s, e in original_spans(t.as_py() or "", np.array(h.as_py(), np.int64))] for t, h in zip(batch.column("text"), batch.column("hit_words"), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.select(["key", "n_words", "hit_words", "items"]).columns, pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=[key, "n_words", "hit_words", "items", "spans"])
+
+    return docs.join(every, "row").mapInArrow(tidy(locate), f"{key} {docs.schema['key'].dataType.simpleString()}, {SCHEMA}")
 
 
 def contaminated(n_hit: F.Column, n_words: F.Column) -> F.Column:
     return (n_hit > 0) & (20 * n_hit >= n_words)
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, key: str = "doc_id") -> DataFrame:
-    """docs without the contaminated ones (all rows of a key, if one of them is); a null key stays."""
-    bad = hits(docs, bench, key).where(contaminated(F.size("hit_words"), F.col("n_words"))).select(key).distinct()
-    return docs.join(bounded_broadcast(staged(bad, "contaminated"), KEY_ROWS), key, "left_anti")
+def decontaminate(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without the contaminated ones; rows that share a key, or have none, go each by their own text."""
+    base = docs.select(F.struct(F.col(key).alias("key"), F.xxhash64(text).alias("digest")).alias("key"), F.col(text).alias("text"))
+    bad = hits(base, bench, "key").where(contaminated(F.size("hit_words"), F.col("n_words"))).select("key.key", "key.digest").distinct()
+    return without(docs, staged(bad, "contaminated"), docs[key], F.xxhash64(docs[text]))
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,11 +9,19 @@ document at the boundary is taken if the sum then ends nearer to the target.
 
 Prefix sums are made in two steps: keys are cut into ranges of some thousand
 documents, the ranges' sums are added up, and only inside a range documents are
-sorted. A source that holds most rows is thus dealt over many tasks.
+sorted. A source that holds most rows is thus dealt over many tasks. Targets are
+made of one row for each source, which one task orders; sources are far fewer than
+documents (a million of them are some ten megabytes there).
+
+The weight is a column, for example a score of the quality classifier, or the
+default of sized(). A weight that is null, not a number, or not over 0 counts as
+LEAST, and one over 1 / LEAST as that.
 
 Edge cases: null text has size 0, and size 0 takes 0; a null source is a source
-of its own; repeated rows draw equal keys and are ordered by size, so the rows
-as a whole agree between runs; an empty table gives an empty mix.
+of its own; a null key draws like an empty one; repeated rows draw equal keys and
+are ordered by size, so the rows as a whole agree between runs; rows that share a
+key are taken each for themselves; an empty table gives an empty mix; columns of any
+name can be carried.
 """
 
 from __future__ import annotations
@@ -25,20 +33,21 @@ from .common import staged, table
 
 #: Weights of the sources in the order of their names, repeating; share of all words that the mix has; most epochs.
 WEIGHTS, SHARE, EPOCHS = (3, 1, 2), 1.5, 2
+#: The least quality weight.
+LEAST = 1e-6
 #: Documents that one range of keys has on average.
 RANGE = 4096
 
 
-def sized(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with size (words of the text) and weight (of its quality, over 0).
+def sized(text: str = "text") -> tuple[F.Column, F.Column]:
+    """Size (words of the text) and weight (of its quality, over 0).
 
     The weight is highest for words of ordinary length: very short or very long
     ones on average mark tables, hex or run-on text.
     """
     n = F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    out = docs.withColumn("size", n)
-    mean = F.coalesce(F.length(text), F.lit(0)) / F.greatest("size", F.lit(1))
-    return out.withColumn("weight", 1.0 / (1.0 + F.abs(mean - 6.0)))
+    mean = F.coalesce(F.length(text), F.lit(0)) / F.greatest(n, F.lit(1))
+    return n, 1.0 / (1.0 + F.abs(mean - 6.0))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
@@ -69,22 +78,29 @@ def uniform(key: F.Column, seed: str) -> F.Column:
     return (n + 0.5) / F.lit(float(1 << 48))
 
 
-def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", carry: tuple[str, ...] = (), seed: str = "mix", **rule: object) -> DataFrame:
-    """key, size, source_size, target, taken, then carry, for each row of docs."""
-    spark = docs.sparkSession
-    small = sized(docs, text).select(F.col(key).alias("key"), F.col(source).alias("source"), "size", "weight", *(F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)))
+def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", carry: tuple[str, ...] = (), seed: str = "mix", weight: str | None = None, **rule: object) -> DataFrame:
+    """key, size, source_size, target, taken, then carry, for each row of docs. weight: a column of quality weights."""
+    size, own = sized(text)
+    if weight is not None:
+        w = F.col(weight).cast("double")
+        own = F.when(w.isNull() | F.isnan(w), LEAST).otherwise(F.least(F.greatest(w, F.lit(LEAST)), F.lit(1 / LEAST)))
+    small = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), size.alias("size"), own.alias("weight"), *(F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)))
     small = small.withColumn("es", -F.log(uniform(F.col("key"), seed)) / F.col("weight"))
-    small = staged(small, "mix") if not carry else small
-    sums = small.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
+    # what the sums are made of is written once; the carried columns are read when all is decided
+    slim = staged(small.select("key", "source", "size", "es"), "mix")
+    small = small if carry else slim
+    sums = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
     goal = staged(targets(sums, **rule), "mix-targets")
-    null_safe = small["source"].eqNullSafe(goal["source"])
     full = F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1))).cast("long")
     # 1 - exp(-key) is spread well enough over 0..1 for ranges; any monotone map is right
     bucket = F.floor((1 - F.exp(-F.col("es") * 0.5)) * F.ceil(F.col("docs") / F.lit(RANGE))).cast("long")
-    j = small.join(goal.withColumnRenamed("source", "source_"), F.col("source").eqNullSafe(F.col("source_")), "left").drop("source_")
-    j = j.withColumn("full", full).withColumn("need", F.col("target") - F.col("full") * F.col("source_size")).withColumn("bucket", bucket)
-    del spark, null_safe
-    per = j.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))
+
+    def placed(rows: DataFrame) -> DataFrame:
+        j = rows.join(goal.withColumnRenamed("source", "source_"), F.col("source").eqNullSafe(F.col("source_")), "left").drop("source_")
+        return j.withColumn("full", full).withColumn("need", F.col("target") - F.col("full") * F.col("source_size")).withColumn("bucket", bucket)
+
+    j = placed(small)
+    per = placed(slim).groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("before", F.coalesce(F.sum("in_bucket").over(before), F.lit(0))).drop("in_bucket").withColumnsRenamed({"source": "source_", "bucket": "bucket_"})
     j = j.join(per, F.col("source").eqNullSafe(F.col("source_")) & (F.col("bucket") == F.col("bucket_"))).drop("source_", "bucket_")

@@ -3,10 +3,10 @@
 Counts of ORDER-grams come from all trusted text; lower orders take continuation
 counts. Discounts, context totals and interpolated probabilities are made by
 joins of count tables that are sharded by their keys. Documents are read in blocks;
-a block asks for its distinct n-grams, these are joined with the shards (first each
-n-gram of the corpus once, with all orders, then the blocks with its probability),
-and the answers meet their block again, whose documents they score. No machine
-holds a model, at any size. A document is rejected if its perplexity exceeds its
+a block asks shards of keys for its distinct n-grams. Each shard's n-grams, once
+each, are joined with the tables of all orders; the shards answer the blocks, and
+the answers meet their block's documents, which they score. No machine holds a
+model, at any size. A document is rejected if its perplexity exceeds its
 language's threshold: a quantile over all its trusted documents, each scored by a
 model of the other FOLDS - 1 parts of the trusted text. A language with too few
 trusted documents for that quantile takes its median and the quantile of all
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, counted, flat, scratch, slices, staged, table, tidy, trim, without
+from .common import bounded_broadcast, counted, flat, pack, scratch, shard_bounds, shards, slices, staged, table, tidy, trim, unpack, without
 
 ORDER = 4
 #: Bytes of text of a block of documents (a longer document is a block of its own).
@@ -70,15 +70,17 @@ def grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[keep], np.where(filled, sizes + 1, 0)
 
 
-def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str | None, np.ndarray, np.ndarray, np.ndarray]]:
-    """Language, rows, grams and their number for slices of the texts of each language."""
-    langs = np.array(["" if v is None else "=" + v for v in batch.column(1).to_pylist()], object)
-    for name in dict.fromkeys(langs.tolist()):
-        own = np.flatnonzero(langs == name)
-        data, off = flat(batch.column(2).take(pa.array(own)))
+def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[tuple, np.ndarray, np.ndarray, np.ndarray]]:
+    """Languages (those of all columns between key and text), rows, grams and their number for slices of the texts of each."""
+    names = list(zip(*(c.to_pylist() for c in batch.columns[1:-1]), strict=True))
+    by: dict[tuple, list[int]] = {}
+    for i, name in enumerate(names):
+        by.setdefault(name, []).append(i)
+    for name, own in by.items():
+        data, off = flat(batch.columns[-1].take(pa.array(own)))
         for i, j in slices(off):
             key, n = grams(data, off[i : j + 1])
-            yield (name[1:] if name else None), own[i:j], key, n
+            yield name, np.array(own[i:j]), key, n
 
 
 def counts(docs: DataFrame) -> DataFrame:
@@ -92,7 +94,7 @@ def counts(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([name] * len(k), pa.string()), pa.array(k.astype(np.int64)), pa.array(c)], names=["lang", "g", "c"])
 
         for batch in batches:
-            for name, _, key, _ in _by_lang(batch):
+            for (name,), _, key, _ in _by_lang(batch):
                 k, c = counted(key)
                 if name in held:
                     k, c = counted(np.concatenate([held[name][0], k]), np.concatenate([held[name][1], c]))
@@ -102,7 +104,7 @@ def counts(docs: DataFrame) -> DataFrame:
         for name in list(held):
             yield out(name)
 
-    return docs.mapInArrow(tidy(run), "lang string, g long, c long").groupBy("lang", "g").agg(F.sum("c").alias("c"))
+    return docs.select("key", "lang", "text").mapInArrow(tidy(run), "lang string, g long, c long").groupBy("lang", "g").agg(F.sum("c").alias("c"))
 
 
 def model(docs: DataFrame) -> DataFrame:
@@ -144,44 +146,34 @@ def model_of(level: DataFrame) -> DataFrame:
     return staged(reduce(DataFrame.union, parts), "kneser-ney")
 
 
-def _blocks(docs: DataFrame) -> DataFrame:
-    """block, payload (its rows of key, lang, text) and asks (lang, g: its distinct ORDER-grams, and 0) of docs."""
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            _, off = flat(batch.column(2))
-            for i, j in slices(off, BLOCK):
-                own = batch.slice(i, j - i)
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-                    w.write_batch(own)
-                asks: dict[str, np.ndarray] = {}
-                for name, _, key, _ in _by_lang(own):
-                    asks[_code(name)] = counted(np.concatenate([asks.get(_code(name), np.zeros(1, np.uint64)), key]))[0]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        own.column(3).slice(0, 1),
-                        pa.array([sink.getvalue().to_pybytes()], pa.binary()),
-                        pa.array([list(asks)], pa.list_(pa.string())),
-                        pa.array([[a.astype(np.int64) for a in asks.values()]], pa.list_(pa.list_(pa.int64()))),
-                    ],
-                    names=["block", "payload", "langs", "grams"],
-                )
-
-    cols = docs.select("key", "lang", "text", F.monotonically_increasing_id().alias("block"))
-    return staged(cols.mapInArrow(tidy(run), "block long, payload binary, langs array<string>, grams array<array<long>>"), "blocks")
-
-
-def _code(lang: str | None) -> str:
-    """A language's name that is never null."""
-    return "" if lang is None else "=" + lang
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Blocks of rows by the number of their first one, which is the last column of batches: the same ones each time a table is read."""
+    for batch in batches:
+        _, off = flat(batch.columns[-2])
+        for i, j in slices(off, BLOCK):
+            yield batch.columns[-1][i].as_py(), pa.RecordBatch.from_arrays([c.slice(i, j - i) for c in batch.columns[:-1]], names=batch.schema.names[:-1])
+
+
+def _asks(rows: pa.RecordBatch) -> tuple[dict, list]:
+    """The distinct n-grams of each language, spread and sorted, and what _by_lang() gives."""
+    own = list(_by_lang(rows))
+    out: dict[str | None, list[np.ndarray]] = {}
+    for names, _, key, _ in own:
+        distinct = counted(key * _SPREAD)[0]
+        for name in dict.fromkeys(names):
+            out.setdefault(name, []).append(distinct)
+    return {name: v[0] if len(v) == 1 else counted(np.concatenate(v))[0] for name, v in out.items()}, own
 
 
 def answers(asked: DataFrame, m: DataFrame) -> DataFrame:
-    """lang, g, v for the distinct (lang, g) of asked: the interpolated probability by the shards of m; 1 for g = 0. Languages without a model give none."""
+    """shard, lang, g, v for each row of asked (shard, lang, g): the interpolated probability. Languages without a model give none."""
     code = F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit(""))
     level = lambda k, n: m.where((F.col("kind") == k) & (F.col("n") == n)).select(code.alias("lang"), F.col("g").alias("at"), F.col("v").alias(f"{k}{n}"))
-    g = asked.join(bounded_broadcast(level("p", 0).drop("at"), LOW_ROWS), "lang")  # a row for each language that has a model
+    g = asked.withColumn("lang", code).join(bounded_broadcast(level("p", 0).drop("at"), LOW_ROWS), "lang")  # a row for each language that has a model
     for n in range(ORDER + 1):
         for k in "pb" if 0 < n < ORDER else "b" if not n else "p":
             own = F.shiftrightunsigned("g", 16) if k == "b" else F.col("g")
@@ -191,42 +183,100 @@ def answers(asked: DataFrame, m: DataFrame) -> DataFrame:
     p = F.col("p0")
     for n in range(1, ORDER + 1):
         p = F.coalesce(F.col(f"p{n}"), F.coalesce(F.col(f"b{n - 1}"), F.lit(1.0)) * p)
-    return g.select("lang", "g", F.when(F.col("g") == 0, 1.0).otherwise(p).alias("v"))
+    return g.select("shard", F.when(F.col("lang") != "", F.substring("lang", 2, 1 << 30)).alias("lang"), "g", p.alias("v"))
 
 
 def scores(docs: DataFrame, m: DataFrame) -> DataFrame:
-    """key, lang, n_tokens (symbols and the end), logprob (log10; null without a model) of each row of docs (key, lang, text)."""
-    schema = docs.select("key", "lang").schema.add("n_tokens", "long").add("logprob", "double")
-    blocks = _blocks(docs)
-    asks = blocks.select("block", F.explode(F.arrays_zip("langs", "grams")).alias("a")).select("block", F.col("a.langs").alias("lang"), F.explode("a.grams").alias("g"))
-    known = staged(answers(asks.select("lang", "g").distinct(), m), "answers")
+    """key, n_tokens (symbols and the end), and by each model that is named between key and text its logprob (log10; null without a model).
 
-    def score(texts: pa.Table, told: pa.Table) -> pa.Table:
-        lang = told.column("lang").combine_chunks().dictionary_encode()
-        names, code = lang.dictionary.to_pylist(), lang.indices.to_numpy(zero_copy_only=False)
-        g, v = told.column("g").to_numpy().view(np.uint64), told.column("v").to_numpy()
+    docs: key, one or more columns of languages, text; the columns of logprobs are called logprob_ and the language's column.
+    """
+    langs = docs.columns[1:-1]
+    read = docs.withColumn("block", F.monotonically_increasing_id())
+    n = shards(docs.sparkSession, docs)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, rows in _blocks(batches):
+            to: dict[int, list[tuple[str | None, bytes]]] = {}
+            for name, keys in _asks(rows)[0].items():
+                b = shard_bounds(keys, n)
+                for s in np.flatnonzero(np.diff(b)).tolist():
+                    to.setdefault(s, []).append((name, pack(keys[b[s] : b[s + 1]])))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(to), pa.int32()), pa.array([block] * len(to), pa.int64()), pa.array([[x for x, _ in v] for v in to.values()], pa.list_(pa.string())), pa.array([[x for _, x in v] for v in to.values()], pa.list_(pa.binary()))],
+                names=["shard", "block", "langs", "grams"],
+            )
+
+    asked = staged(read.mapInArrow(tidy(ask), "shard int, block long, langs array<string>, grams array<binary>"), "asks")
+
+    def distinct(group: pa.Table) -> pa.Table:
+        by: dict[str | None, list[np.ndarray]] = {}
+        for names, packed in zip(group.column("langs").to_pylist(), group.column("grams").to_pylist(), strict=True):
+            for name, raw in zip(names, packed, strict=True):
+                by.setdefault(name, []).append(unpack(raw))
+        keys = [(name, counted(np.concatenate(v))[0] * _BACK) for name, v in by.items()]
+        g = np.concatenate([k for _, k in keys])
+        lang = pa.concat_arrays([pa.repeat(pa.scalar(name, pa.string()), len(k)) for name, k in keys])
+        return pa.table([pa.array(np.full(len(g), group.column("shard")[0].as_py(), np.int32)), lang, pa.array(g.view(np.int64))], names=["shard", "lang", "g"])
+
+    known = staged(answers(asked.select("shard", "langs", "grams").groupBy("shard").applyInArrow(distinct, "shard int, lang string, g long"), m), "answers")
+
+    def tell(group: pa.Table, told: pa.Table) -> pa.Table:
+        """The probabilities of a block's n-grams in the order in which it asked; null for a language without a model."""
+        lang = told.column("lang").combine_chunks().dictionary_encode(null_encoding="encode")
+        code = lang.indices.to_numpy(zero_copy_only=False)
+        g, v = told.column("g").to_numpy().view(np.uint64) * _SPREAD, np.log10(told.column("v").to_numpy()).astype("<f4")
         tables = {}
-        for i, name in enumerate(names):
+        for i, name in enumerate(lang.dictionary.to_pylist()):
             own = np.flatnonzero(code == i)
             own = own[np.argsort(g[own])]
-            tables[name] = g[own], np.log10(v[own])
+            tables[name] = g[own], v[own]
+        out = [[None if name not in tables else tables[name][1][np.searchsorted(tables[name][0], unpack(raw))].tobytes() for name, raw in zip(names, packed, strict=True)] for names, packed in zip(group.column("langs").to_pylist(), group.column("grams").to_pylist(), strict=True)]
+        return pa.Table.from_arrays([group.column("shard"), group.column("block"), group.column("langs"), pa.array(out, pa.list_(pa.binary()))], names=["shard", "block", "langs", "values"])
+
+    values = asked.groupBy("shard").cogroup(known.select(F.col("shard").alias("of"), "lang", "g", "v").groupBy("of")).applyInArrow(tell, "shard int, block long, langs array<string>, values array<binary>")
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, rows in _blocks(batches):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_batch(rows)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "payload"])
+
+    schema = docs.select(docs.columns[0]).schema.add("n_tokens", "long")
+    for name in langs:
+        schema = schema.add(f"logprob_{name}", "double")
+
+    def score(texts: pa.Table, told: pa.Table) -> pa.Table:
+        got: dict[str | None, list] = {}
+        told = told.sort_by("shard")
+        for names, packed in zip(told.column("langs").to_pylist(), told.column("values").to_pylist(), strict=True):
+            for name, raw in zip(names, packed, strict=True):
+                got.setdefault(name, []).append(raw)
         out = []
-        for raw in texts.column("payload"):
-            batch = pa.ipc.open_stream(raw.as_buffer()).read_all().combine_chunks().to_batches()
-            for rows in batch:
-                n_tokens, logprob = np.zeros(rows.num_rows, np.int64), np.full(rows.num_rows, np.nan)
-                for name, own, key, n in _by_lang(rows):
-                    n_tokens[own] = n
-                    if (t := tables.get(_code(name))) is not None:
-                        total = np.concatenate([[0], np.cumsum(t[1][np.searchsorted(t[0], key)])])
-                        end = np.cumsum(n)
-                        logprob[own] = total[end] - total[end - n]
-                out.append(pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(n_tokens), pa.array(logprob, pa.float64(), mask=np.isnan(logprob))], names=["key", "lang", "n_tokens", "logprob"]))
+        for payload in texts.column("payload"):
+            for rows in pa.ipc.open_stream(payload.as_buffer()).read_all().to_batches():
+                asks, every = _asks(rows)
+                tables = {name: None if None in v else np.frombuffer(b"".join(v), "<f4").astype(float) for name, v in got.items()}
+                if any(t is not None and len(t) != len(asks[name]) for name, t in tables.items()) or any(len(a) and name not in tables for name, a in asks.items()):
+                    raise ValueError("a table gave other rows when it was read again")
+                n_tokens, logprob = np.zeros(rows.num_rows, np.int64), np.full((len(langs), rows.num_rows), np.nan)
+                for names, own, key, n_ in every:
+                    n_tokens[own] = n_
+                    end, spread = np.cumsum(n_), key * _SPREAD
+                    for i, name in enumerate(names):
+                        if name in names[:i]:
+                            logprob[i, own] = logprob[names.index(name), own]
+                        elif len(key) and tables[name] is not None:
+                            total = np.concatenate([[0], np.cumsum(tables[name][np.searchsorted(asks[name], spread)])])
+                            logprob[i, own] = total[end] - total[end - n_]
+                logprob[:, n_tokens == 0] = 0
+                out.append(pa.RecordBatch.from_arrays([rows.column(0), pa.array(n_tokens), *(pa.array(p, pa.float64(), mask=np.isnan(p)) for p in logprob)], names=schema.names))
         trim()
         return pa.Table.from_batches(out)
 
-    told = asks.join(known, ["lang", "g"]).select(F.col("block").alias("of"), "lang", "g", "v")
-    return blocks.select("block", "payload").groupBy("block").cogroup(told.groupBy("of")).applyInArrow(score, schema)
+    texts = read.mapInArrow(tidy(send), "block long, payload binary")
+    return texts.groupBy("block").cogroup(values.select(F.col("block").alias("of"), "shard", "langs", "values").groupBy("of")).applyInArrow(score, schema)
 
 
 def limits(steps: DataFrame) -> tuple[DataFrame, int | None]:
@@ -255,17 +305,18 @@ def _judged(base: DataFrame) -> DataFrame:
     parts = F.explode(F.filter(F.array(*map(F.lit, range(FOLDS + 1))), lambda i: i != F.col("fold")))
     every = each.select("lang", "g", "c", parts.alias("without")).groupBy(tag(F.col("without")).alias("lang"), "g").agg(F.sum("c").alias("c"))
     m = model_of(staged(every, "grams"))
-    # all rows by the model of all parts, and the trusted ones aside by the model without their part
-    twice = base.select("key", F.lit(False).alias("aside"), tag(F.lit(FOLDS)).alias("lang"), "text").union(own.select("key", F.lit(True).alias("aside"), tag(F.col("fold")).alias("lang"), "text"))
-    got = scores(twice.select(F.struct("key", "aside").alias("key"), "lang", "text"), m).select("key.*", bare, "n_tokens", "logprob")
-    got = staged(got.withColumn("perplexity", F.when(F.col("n_tokens") == 0, 1.0).otherwise(F.pow(F.lit(10.0), -F.col("logprob") / F.col("n_tokens")))), "scores")
+    # each row by the model of all parts, and a trusted one aside by the model without its part
+    models = base.select(F.struct("key", "lang", "trusted").alias("key"), tag(F.lit(FOLDS)).alias("all"), F.when(F.col("trusted"), tag(F.pmod(F.xxhash64("key", "text"), F.lit(FOLDS)).cast("int"))).otherwise(tag(F.lit(FOLDS))).alias("part"), "text")
+    perplexity = lambda p: F.when(F.col("n_tokens") == 0, 1.0).otherwise(F.pow(F.lit(10.0), -F.col(p) / F.col("n_tokens")))
+    got = scores(models, m).select("key.*", "n_tokens", F.col("logprob_all").alias("logprob"), perplexity("logprob_all").alias("perplexity"), perplexity("logprob_part").alias("aside"))
+    got = staged(got, "scores")
     # quantiles by counts of small steps, which add up over tasks in any order
-    steps = got.where("aside AND n_tokens > 0 AND perplexity IS NOT NULL").groupBy("lang", F.floor(F.log10("perplexity") / STEP).cast("long").alias("step")).agg(F.count(F.lit(1)).alias("c"))
+    steps = got.where("trusted AND n_tokens > 0 AND aside IS NOT NULL").groupBy("lang", F.floor(F.log10("aside") / STEP).cast("long").alias("step")).agg(F.count(F.lit(1)).alias("c"))
     limit, pooled = limits(staged(steps, "steps"))
     at = lambda step: F.pow(F.lit(10.0), (step + 1) * STEP) * ROOM
     limit = limit.select(F.col("lang").alias("lang_"), at(F.col("step")).alias("threshold"))
-    out = got.where("NOT aside").drop("aside").join(bounded_broadcast(staged(limit, "thresholds"), 1 << 14), F.col("lang").eqNullSafe(F.col("lang_")), "left").drop("lang_")
-    out = out.withColumn("threshold", F.coalesce("threshold", F.when(F.col("logprob").isNotNull(), at(F.lit(pooled).cast("long")))))
+    out = got.drop("aside", "trusted").join(bounded_broadcast(staged(limit, "thresholds"), 1 << 14), F.col("lang").eqNullSafe(F.col("lang_")), "left").drop("lang_")
+    out = out.withColumn("threshold", F.coalesce("threshold", F.when((F.col("n_tokens") > 0) & F.col("logprob").isNotNull(), at(F.lit(pooled).cast("long")))))
     return out.withColumn("keep", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)))
 
 

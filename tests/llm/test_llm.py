@@ -1,8 +1,10 @@
 """Training-data operators against brute force, round trips and held-out labels, with the edge cases they state."""
 
 import collections
+import hashlib
 import math
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -54,8 +56,52 @@ def test_tiff_edges(spark, edge):
         raw = (t or "").encode()
         payload = raw + b"\xff" * (-len(raw) % 576 or (0 if raw else 576))
         assert (r.n_bytes, r.payload_bytes, r.tail_crc32) == (len(raw), len(payload), zlib.crc32(payload[-32:]))
-    bad = spark.createDataFrame([(1, None), (2, bytearray(b"II*\0\xff\0\0\0")), (3, bytearray(b""))], "k int, m binary")
-    assert [(r.k, r.page, bool(r.error)) for r in tiff.pages(bad, "k", "m").collect()] == [(2, 0, True)]
+        feature = [p for p in tiff.read_pages(tiff.pack_payload(raw))]
+        assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.media_sha256 == hashlib.sha256(tiff.pack_payload(raw)).hexdigest() and r.media_bytes == len(tiff.pack_payload(raw))
+        mean, steps = sum(payload) / len(payload), sum(a != b for a, b in zip(payload[1:], payload, strict=False))
+        hist = collections.Counter(b >> 5 for b in payload)
+        how = "".join(sorted({{5: "l", 32773: "p", 8: "d"}[p["compression"]] + "t" * p["tiled"] for p in feature}))
+        assert r.feature == f"{len(feature)}p {how} mean {mean:.3f} steps {steps} hist {','.join(str(hist[i]) for i in range(8))}"
+    bad = spark.createDataFrame([(1, None), (2, bytearray(b"II*\0\xff\0\0\0")), (3, bytearray(b"")), (None, bytearray(b"xx"))], "k int, m binary")
+    assert [(r.k, r.page, bool(r.error)) for r in tiff.pages(bad, "k", "m").collect()] == [(2, 0, True), (None, 0, True)]
+    assert tiff.pages(bad.limit(0), "k", "m").count() == 0 and tiff.features(tiff.stored(edge.limit(0))).count() == 0
+
+
+def test_tiff_samples_planes_and_predictors():
+    rng = np.random.default_rng(6)
+    for kind, predictors in (("u1", (1, 2)), ("u2", (1, 2, 3)), ("u4", (1, 2, 3)), ("u8", (1, 2, 3))):
+        for predictor in predictors:
+            for separate in (False, True):
+                for layout in (5, (16, 16)):
+                    for order in "<>":
+                        px = rng.integers(0, 1 << 8 * np.dtype(kind).itemsize, (19, 21, 3), dtype=kind)
+                        (got,) = tiff.read_pages(tiff.write_tiff([(px, tiff.LZW if separate else tiff.DEFLATE, predictor, layout, separate)], order))
+                        assert got["pixels"] == px.tobytes() and got["bits"] == 8 * px.dtype.itemsize, (kind, predictor, separate, layout, order)
+
+
+def test_tiff_damage_is_a_row_and_the_next_page_follows():
+    px = np.arange(300, dtype=np.uint8).reshape(10, 10, 3)
+    raw = bytearray(tiff.write_tiff([(px, tiff.DEFLATE, 2, 10)] * 3))
+    at = struct.unpack_from("<I", raw, 4)[0]
+    second = struct.unpack_from("<I", raw, at + 2 + 12 * struct.unpack_from("<H", raw, at)[0])[0]
+
+    def tag(directory, number, value, count=None):
+        out = bytearray(raw)
+        for i in range(struct.unpack_from("<H", raw, directory)[0]):
+            where = directory + 2 + 12 * i
+            if struct.unpack_from("<H", raw, where)[0] == number:
+                if count is not None:
+                    struct.pack_into("<I", out, where + 4, count)
+                struct.pack_into("<H" if count is None and struct.unpack_from("<H", raw, where + 2)[0] == 3 else "<I", out, where + 8, value)
+        return bytes(out)
+
+    for damaged in (tag(second, 259, 7), tag(second, 257, 5_000_000), tag(second, 256, 1 << 31), tag(second, 278, 0), tag(second, 273, 1 << 30), tag(second, 258, 1 << 31, 1 << 31), tag(second, 279, 2), tag(second, 317, 9), tag(second, 277, 0)):
+        got = list(tiff.read_pages(damaged))
+        assert [bool(p.get("error")) for p in got] == [False, True, False] and got[2]["pixels"] == px.tobytes()
+    loop = bytearray(raw)
+    struct.pack_into("<I", loop, second + 2 + 12 * struct.unpack_from("<H", raw, second)[0], at)
+    assert len(list(tiff.read_pages(bytes(loop)))) == 2
+    assert list(tiff.read_pages(bytes(raw[: second + 4])))[-1]["error"]
 
 
 def test_token_counts_match_the_library(docs, edge):
