@@ -34,9 +34,19 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with the words it takes of each (repeats counted) and its source's target."""
-    mix = mixing.mix(docs).groupBy("doc_id").agg(F.max("size").alias("size"), F.max("target").alias("target"), F.max("taken").alias("taken"))
-    return docs.join(mix.where("taken > 0"), "doc_id")
+    """The rows that the mix takes, with their words (size), their source's target and the words it takes of each (repeats counted).
+
+    Rows stay as they are, those without a key or that share one too; a column of docs that is called like one of the three new ones gets underscores.
+    """
+    mixed = mixing.mix(docs, carry=tuple(docs.columns)).where("taken > 0")
+    mixed = mixed.toDF(*(f"c{i}" for i in range(len(mixed.columns))))
+    used, out = {"size", "target", "taken"}, []
+    for i, c in enumerate(docs.columns):
+        while c.lower() in used:
+            c += "_"
+        used.add(c.lower())
+        out.append(F.col(f"c{i + 5}").alias(c))
+    return mixed.select(*out, F.col("c1").alias("size"), F.col("c3").alias("target"), F.col("c4").alias("taken"))
 
 
 STAGES = [
