@@ -3,10 +3,11 @@
 Counts of ORDER-grams come from all trusted text; lower orders take continuation
 counts. Discounts, context totals and interpolated probabilities are made by
 joins of count tables that are sharded by their keys. Documents are read in blocks;
-a block asks shards of keys for its distinct n-grams. Each shard's n-grams, once
-each, are joined with the tables of all orders; the shards answer the blocks, and
-the answers meet their block's documents, which they score. No machine holds a
-model, at any size. A document is rejected if its perplexity exceeds its
+a block asks the shards of the tables for its distinct n-grams. The shard of an
+n-gram is that of its last two context symbols, as are those of the shorter n-grams
+and contexts that interpolate it, so each shard answers by itself; the answers meet
+their block's documents, which they score. Only single symbols' probabilities are
+sent everywhere (65,536 a model at most), at any size. A document is rejected if its perplexity exceeds its
 language's threshold: a quantile over all its trusted documents, each scored by a
 model of the other FOLDS - 1 parts of the trusted text. A language with too few
 trusted documents for that quantile takes its median and the quantile of all
@@ -23,6 +24,7 @@ names. Characters over U+FFFB count as one symbol.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -31,13 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, counted, flat, pack, scratch, shard_bounds, shards, slices, staged, table, tidy, trim, unpack, without
+from .common import bounded_broadcast, counted, flat, pack, scratch, shards, slices, staged, table, tidy, trim, unpack, without
 
 ORDER = 4
 #: Bytes of text of a block of documents (a longer document is a block of its own).
 BLOCK = 8 << 20
-#: Rows up to which the tables of the two lowest orders are broadcast.
-LOW_ROWS = 1 << 18
 #: Rows up to which the trusted identifiers are broadcast.
 LABEL_ROWS = 1 << 20
 #: Parts of the trusted documents, each scored without itself (10 at most: a digit names one), the thresholds' quantile, and the room above it.
@@ -146,8 +146,14 @@ def model_of(level: DataFrame) -> DataFrame:
     return staged(reduce(DataFrame.union, parts), "kneser-ney")
 
 
-_SPREAD = np.uint64(0x9E3779B97F4A7C15)
-_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Multipliers of the shard's two symbols; products stay far under 63 bits.
+_LAST, _BEFORE = 2654435, 40503
+
+
+def _shard(last: np.ndarray | F.Column, before: np.ndarray | F.Column, n: int) -> np.ndarray | F.Column:
+    """The shard, of n, of n-grams whose context ends in two symbols; those that end in one are in about the root of n shards."""
+    wide = math.isqrt(n)
+    return (last * _LAST + before * _BEFORE % wide) % n
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -159,31 +165,76 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordB
 
 
 def _asks(rows: pa.RecordBatch) -> tuple[dict, list]:
-    """The distinct n-grams of each language, spread and sorted, and what _by_lang() gives."""
+    """The distinct n-grams of each language in order, and what _by_lang() gives."""
     own = list(_by_lang(rows))
     out: dict[str | None, list[np.ndarray]] = {}
     for names, _, key, _ in own:
-        distinct = counted(key * _SPREAD)[0]
+        distinct = counted(key)[0]
         for name in dict.fromkeys(names):
             out.setdefault(name, []).append(distinct)
     return {name: v[0] if len(v) == 1 else counted(np.concatenate(v))[0] for name, v in out.items()}, own
 
 
-def answers(asked: DataFrame, m: DataFrame) -> DataFrame:
-    """shard, lang, g, v for each row of asked (shard, lang, g): the interpolated probability. Languages without a model give none."""
-    code = F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit(""))
-    level = lambda k, n: m.where((F.col("kind") == k) & (F.col("n") == n)).select(code.alias("lang"), F.col("g").alias("at"), F.col("v").alias(f"{k}{n}"))
-    g = asked.withColumn("lang", code).join(bounded_broadcast(level("p", 0).drop("at"), LOW_ROWS), "lang")  # a row for each language that has a model
-    for n in range(ORDER + 1):
-        for k in "pb" if 0 < n < ORDER else "b" if not n else "p":
-            own = F.shiftrightunsigned("g", 16) if k == "b" else F.col("g")
-            own = own.bitwiseAND((1 << 16 * n) - 1) if n < ORDER else own
-            t = level(k, n)
-            g = g.withColumn("at", own).join(bounded_broadcast(t, LOW_ROWS) if n < 2 else t, ["lang", "at"], "left").drop("at")
-    p = F.col("p0")
-    for n in range(1, ORDER + 1):
-        p = F.coalesce(F.col(f"p{n}"), F.coalesce(F.col(f"b{n - 1}"), F.lit(1.0)) * p)
-    return g.select("shard", F.when(F.col("lang") != "", F.substring("lang", 2, 1 << 30)).alias("lang"), "g", p.alias("v"))
+def _dealt(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of ascending ORDER-grams by shard, the shards that have any, and where each begins (and the end)."""
+    shard = _shard((keys >> np.uint64(16) & np.uint64(0xFFFF)).astype(np.int64), (keys >> np.uint64(32) & np.uint64(0xFFFF)).astype(np.int64), n)
+    order = np.argsort(shard, kind="stable")
+    own, first = np.unique(shard[order], return_index=True)
+    return order, own, np.append(first, len(keys))
+
+
+def _sharded(m: DataFrame, n: int) -> DataFrame:
+    """of (shard), lang, at (n of 'p', -1 - n of 'b'), g, v of the tables of contexts and of n-grams from two symbols on."""
+    symbol = lambda k: F.shiftrightunsigned("g", 16 * k).bitwiseAND(0xFFFF)
+    p = F.col("kind") == "p"
+    last, before = F.when(p, symbol(1)).otherwise(symbol(0)), F.when(p, symbol(2)).otherwise(symbol(1))
+    wide = math.isqrt(n)
+    one = (p & (F.col("n") == 2)) | (~p & (F.col("n") == 1))  # nothing but the last symbol is known: all shards that it can be in
+    of = F.explode(F.when(one, F.transform(F.sequence(F.lit(0), F.lit(wide - 1)), lambda i: ((last * _LAST + i) % n).cast("int"))).otherwise(F.array(_shard(last, before, n).cast("int"))))
+    rows = m.where((p & (F.col("n") >= 2)) | (~p & (F.col("n") >= 1)))
+    return rows.select(of.alias("of"), "lang", F.when(p, F.col("n")).otherwise(-1 - F.col("n")).cast("byte").alias("at"), "g", F.col("v").cast("float").alias("v"))
+
+
+Table = tuple[np.ndarray, np.ndarray]
+
+
+def _tables(got: pa.Table) -> dict[str | None, dict[int, Table]]:
+    """Sorted keys and values of each language's tables (columns lang, at, g, v)."""
+    lang = got.column("lang").combine_chunks().dictionary_encode(null_encoding="encode")  # an index a row, no Python object
+    code = lang.indices.to_numpy(zero_copy_only=False)
+    at, g, v = got.column("at").to_numpy(), got.column("g").to_numpy().view(np.uint64), got.column("v").to_numpy()
+    out: dict[str | None, dict[int, Table]] = {}
+    for i, name in enumerate(lang.dictionary.to_pylist()):
+        own = np.flatnonzero(code == i)
+        for k in np.unique(at[own]).tolist():
+            on = own[at[own] == k]
+            on = on[np.argsort(g[on])]
+            out.setdefault(name, {})[k] = g[on], v[on]
+    return out
+
+
+def _find(t: Table | None, keys: np.ndarray) -> Table:
+    if t is None or not len(t[0]):
+        return np.zeros(len(keys), bool), np.zeros(len(keys), np.float32)
+    at = np.searchsorted(t[0], keys)
+    at[at == len(t[0])] = 0
+    return t[0][at] == keys, t[1][at]
+
+
+def probabilities(tables: dict[int, Table], key: np.ndarray) -> np.ndarray:
+    """The interpolated probability of each ORDER-gram: that of the longest end that was seen, times the weights of the longer contexts."""
+    p, left, weight = np.zeros(len(key)), np.arange(len(key)), np.ones(len(key))
+    for n in range(ORDER, 0, -1):
+        k = key[left] & np.uint64((1 << 16 * n) - 1)
+        hit, v = _find(tables.get(n), k)
+        p[left[hit]] = weight[left[hit]] * v[hit]
+        left, k = left[~hit], k[~hit]
+        if not len(left):
+            return p
+        seen, b = _find(tables.get(-n), k >> np.uint64(16))
+        weight[left[seen]] *= b[seen]
+    p[left] = weight[left] * tables[0][1][0]
+    return p
 
 
 def scores(docs: DataFrame, m: DataFrame) -> DataFrame:
@@ -194,52 +245,48 @@ def scores(docs: DataFrame, m: DataFrame) -> DataFrame:
     langs = docs.columns[1:-1]
     read = docs.withColumn("block", F.monotonically_increasing_id())
     n = shards(docs.sparkSession, docs)
+    single = m.where("(kind = 'p' AND n <= 1) OR (kind = 'b' AND n = 0)").select("lang", F.when(F.col("kind") == "p", F.col("n")).otherwise(-1).cast("byte").alias("at"), "g", F.col("v").cast("float").alias("v"))
+    sent = docs.sparkSession.sparkContext.broadcast(_tables(single.toArrow()))  # a row for each symbol
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows in _blocks(batches):
             to: dict[int, list[tuple[str | None, bytes]]] = {}
             for name, keys in _asks(rows)[0].items():
-                b = shard_bounds(keys, n)
-                for s in np.flatnonzero(np.diff(b)).tolist():
-                    to.setdefault(s, []).append((name, pack(keys[b[s] : b[s + 1]])))
+                order, own, b = _dealt(keys, n)
+                for i, s in enumerate(own.tolist()):
+                    to.setdefault(s, []).append((name, pack(keys[order[b[i] : b[i + 1]]])))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(to), pa.int32()), pa.array([block] * len(to), pa.int64()), pa.array([[x for x, _ in v] for v in to.values()], pa.list_(pa.string())), pa.array([[x for _, x in v] for v in to.values()], pa.list_(pa.binary()))],
                 names=["shard", "block", "langs", "grams"],
             )
 
-    asked = staged(read.mapInArrow(tidy(ask), "shard int, block long, langs array<string>, grams array<binary>"), "asks")
-
-    def distinct(group: pa.Table) -> pa.Table:
-        by: dict[str | None, list[np.ndarray]] = {}
-        for names, packed in zip(group.column("langs").to_pylist(), group.column("grams").to_pylist(), strict=True):
-            for name, raw in zip(names, packed, strict=True):
-                by.setdefault(name, []).append(unpack(raw))
-        keys = [(name, counted(np.concatenate(v))[0] * _BACK) for name, v in by.items()]
-        g = np.concatenate([k for _, k in keys])
-        lang = pa.concat_arrays([pa.repeat(pa.scalar(name, pa.string()), len(k)) for name, k in keys])
-        return pa.table([pa.array(np.full(len(g), group.column("shard")[0].as_py(), np.int32)), lang, pa.array(g.view(np.int64))], names=["shard", "lang", "g"])
-
-    known = staged(answers(asked.select("shard", "langs", "grams").groupBy("shard").applyInArrow(distinct, "shard int, lang string, g long"), m), "answers")
-
-    def tell(group: pa.Table, told: pa.Table) -> pa.Table:
-        """The probabilities of a block's n-grams in the order in which it asked; null for a language without a model."""
-        lang = told.column("lang").combine_chunks().dictionary_encode(null_encoding="encode")
-        code = lang.indices.to_numpy(zero_copy_only=False)
-        g, v = told.column("g").to_numpy().view(np.uint64) * _SPREAD, np.log10(told.column("v").to_numpy()).astype("<f4")
-        tables = {}
-        for i, name in enumerate(lang.dictionary.to_pylist()):
-            own = np.flatnonzero(code == i)
-            own = own[np.argsort(g[own])]
-            tables[name] = g[own], v[own]
-        out = [[None if name not in tables else tables[name][1][np.searchsorted(tables[name][0], unpack(raw))].tobytes() for name, raw in zip(names, packed, strict=True)] for names, packed in zip(group.column("langs").to_pylist(), group.column("grams").to_pylist(), strict=True)]
+    def tell(group: pa.Table, own: pa.Table) -> pa.Table:
+        """The probabilities of the blocks' n-grams in the order in which they asked; null for a language without a model."""
+        tables = _tables(own)
+        by: dict[str | None, list[tuple[int, int, np.ndarray]]] = {}
+        names, packed = group.column("langs").to_pylist(), group.column("grams").to_pylist()
+        for r, (row, raw) in enumerate(zip(names, packed, strict=True)):
+            for i, name in enumerate(row):
+                by.setdefault(name, []).append((r, i, unpack(raw[i])))
+        del packed
+        out: list[list[bytes | None]] = [[None] * len(row) for row in names]
+        for name, asked in by.items():
+            if name in sent.value:
+                every, inverse = np.unique(np.concatenate([a for _, _, a in asked]), return_inverse=True)
+                value = np.log10(probabilities(tables.get(name, {}) | sent.value[name], every)).astype("<f4")[inverse]
+                end = 0
+                for r, i, a in asked:
+                    out[r][i], end = value[end : end + len(a)].tobytes(), end + len(a)
+        trim()
         return pa.Table.from_arrays([group.column("shard"), group.column("block"), group.column("langs"), pa.array(out, pa.list_(pa.binary()))], names=["shard", "block", "langs", "values"])
 
-    values = asked.groupBy("shard").cogroup(known.select(F.col("shard").alias("of"), "lang", "g", "v").groupBy("of")).applyInArrow(tell, "shard int, block long, langs array<string>, values array<binary>")
+    asked = read.mapInArrow(tidy(ask), "shard int, block long, langs array<string>, grams array<binary>")
+    values = asked.groupBy("shard").cogroup(_sharded(m, n).groupBy("of")).applyInArrow(tell, "shard int, block long, langs array<string>, values array<binary>")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows in _blocks(batches):
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))) as w:
                 w.write_batch(rows)
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "payload"])
 
@@ -257,18 +304,24 @@ def scores(docs: DataFrame, m: DataFrame) -> DataFrame:
         for payload in texts.column("payload"):
             for rows in pa.ipc.open_stream(payload.as_buffer()).read_all().to_batches():
                 asks, every = _asks(rows)
-                tables = {name: None if None in v else np.frombuffer(b"".join(v), "<f4").astype(float) for name, v in got.items()}
-                if any(t is not None and len(t) != len(asks[name]) for name, t in tables.items()) or any(len(a) and name not in tables for name, a in asks.items()):
-                    raise ValueError("a table gave other rows when it was read again")
+                tables: dict[str | None, np.ndarray | None] = {}
+                for name, keys in asks.items():
+                    told_ = got.get(name, [] if not len(keys) else None)
+                    size = -1 if told_ is None else len(keys) if None in told_ else sum(map(len, told_)) // 4
+                    if size != len(keys):
+                        raise ValueError("a table gave other rows when it was read again")
+                    tables[name] = None if None in told_ else np.empty(len(keys))
+                    if tables[name] is not None:
+                        tables[name][_dealt(keys, n)[0]] = np.frombuffer(b"".join(told_), "<f4")
                 n_tokens, logprob = np.zeros(rows.num_rows, np.int64), np.full((len(langs), rows.num_rows), np.nan)
                 for names, own, key, n_ in every:
                     n_tokens[own] = n_
-                    end, spread = np.cumsum(n_), key * _SPREAD
+                    end = np.cumsum(n_)
                     for i, name in enumerate(names):
                         if name in names[:i]:
                             logprob[i, own] = logprob[names.index(name), own]
                         elif len(key) and tables[name] is not None:
-                            total = np.concatenate([[0], np.cumsum(tables[name][np.searchsorted(asks[name], spread)])])
+                            total = np.concatenate([[0], np.cumsum(tables[name][np.searchsorted(asks[name], key)])])
                             logprob[i, own] = total[end] - total[end - n_]
                 logprob[:, n_tokens == 0] = 0
                 out.append(pa.RecordBatch.from_arrays([rows.column(0), pa.array(n_tokens), *(pa.array(p, pa.float64(), mask=np.isnan(p)) for p in logprob)], names=schema.names))
