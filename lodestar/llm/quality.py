@@ -164,15 +164,14 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordB
             yield batch.columns[-1][i].as_py(), pa.RecordBatch.from_arrays([c.slice(i, j - i) for c in batch.columns[:-1]], names=batch.schema.names[:-1])
 
 
-def _asks(rows: pa.RecordBatch) -> tuple[dict, list]:
-    """The distinct n-grams of each language in order, and what _by_lang() gives."""
-    own = list(_by_lang(rows))
+def _asks(rows: pa.RecordBatch) -> dict[str | None, np.ndarray]:
+    """The distinct n-grams of each language in order."""
     out: dict[str | None, list[np.ndarray]] = {}
-    for names, _, key, _ in own:
+    for names, _, key, _ in _by_lang(rows):
         distinct = counted(key)[0]
         for name in dict.fromkeys(names):
             out.setdefault(name, []).append(distinct)
-    return {name: v[0] if len(v) == 1 else counted(np.concatenate(v))[0] for name, v in out.items()}, own
+    return {name: v[0] if len(v) == 1 else counted(np.concatenate(v))[0] for name, v in out.items()}
 
 
 def _dealt(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -251,7 +250,7 @@ def scores(docs: DataFrame, m: DataFrame) -> DataFrame:
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows in _blocks(batches):
             to: dict[int, list[tuple[str | None, bytes]]] = {}
-            for name, keys in _asks(rows)[0].items():
+            for name, keys in _asks(rows).items():
                 order, own, b = _dealt(keys, n)
                 for i, s in enumerate(own.tolist()):
                     to.setdefault(s, []).append((name, pack(keys[order[b[i] : b[i + 1]]])))
@@ -303,7 +302,7 @@ def scores(docs: DataFrame, m: DataFrame) -> DataFrame:
         out = []
         for payload in texts.column("payload"):
             for rows in pa.ipc.open_stream(payload.as_buffer()).read_all().to_batches():
-                asks, every = _asks(rows)
+                asks = _asks(rows)
                 tables: dict[str | None, np.ndarray | None] = {}
                 for name, keys in asks.items():
                     told_ = got.get(name, [] if not len(keys) else None)
@@ -314,7 +313,7 @@ def scores(docs: DataFrame, m: DataFrame) -> DataFrame:
                     if tables[name] is not None:
                         tables[name][_dealt(keys, n)[0]] = np.frombuffer(b"".join(told_), "<f4")
                 n_tokens, logprob = np.zeros(rows.num_rows, np.int64), np.full((len(langs), rows.num_rows), np.nan)
-                for names, own, key, n_ in every:
+                for names, own, key, n_ in _by_lang(rows):  # made again, as all of a block's n-grams are some ten times its text
                     n_tokens[own] = n_
                     end = np.cumsum(n_)
                     for i, name in enumerate(names):
