@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import operators, ssb
+    from . import files, operators, ssb
 
-    return ssb.QUERIES | operators.QUERIES
+    return ssb.QUERIES | operators.QUERIES | files.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import operators, ssb
+    from . import files, operators, ssb
 
-    return ssb.SQL | operators.SQL
+    return ssb.SQL | operators.SQL | files.SQL
