@@ -17,4 +17,4 @@ QUERIES = {
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
-ORACLE_SQL = {"op3_mixing": mixing.ORACLE_SQL, "op7_warc": warc.ORACLE_SQL, "op10_decontaminate": decontaminate.ORACLE_SQL}
+ORACLE_SQL = {"op3_mixing": mixing.ORACLE_SQL, "op7_warc": warc.ORACLE_SQL, "op9_near_duplicates": near_duplicates.ORACLE_SQL, "op10_decontaminate": decontaminate.ORACLE_SQL}
