@@ -38,8 +38,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows stay as they are, those without a key or that share one too; a column of docs that is called like one of the three new ones gets underscores.
     """
-    mixed = mixing.mix(docs, carry=tuple(docs.columns)).where("taken > 0")
-    mixed = mixed.toDF(*(f"c{i}" for i in range(len(mixed.columns))))
+    mixed = mixing.mix(docs, carry=tuple(docs.columns))
+    mixed = mixed.toDF(*(f"c{i}" for i in range(len(mixed.columns)))).where("c4 > 0")
     used, out = {"size", "target", "taken"}, []
     for i, c in enumerate(docs.columns):
         while c.lower() in used:
