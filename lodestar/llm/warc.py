@@ -12,8 +12,9 @@ complete file.
 
 Edge cases: null html is an empty payload; equal payloads of at least MIN_REVISIT
 bytes have one response, that with the largest identifier (null identifiers
-come first), the others are revisits; with repeated identifiers one row is the
-response. An empty table makes no bundle.
+come first), the others are revisits; rows that share the response's identifier and
+payload are responses like it, and payloads that only rows without an identifier have
+are all responses. An empty table makes no bundle; other columns are not read.
 """
 
 from __future__ import annotations
@@ -191,9 +192,10 @@ def archive(pages: DataFrame) -> DataFrame:
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = read_back(archive(table(spark, sf_dir, "pages"))).drop("payload")
     got = staged(got, "warc-index")
-    # a revisit's length is that of the response it refers to
-    full = got.where("record_type = 'response'").select(F.col("ident").alias("refers_to"), F.col("own_bytes").alias("full_bytes")).join(got.where("refers_to IS NOT NULL").select("refers_to").distinct(), "refers_to", "left_semi")
-    out = got.join(full, "refers_to", "left")
+    # a revisit's length is that of the response it refers to, by its digest as well: identifiers may repeat
+    asked = got.where("refers_to IS NOT NULL").select("refers_to", "digest").distinct()
+    full = got.where("record_type = 'response'").select(F.col("ident").alias("refers_to"), "digest", F.col("own_bytes").alias("full_bytes")).distinct().join(asked, ["refers_to", "digest"], "left_semi")
+    out = got.join(full, ["refers_to", "digest"], "left")
     number = lambda c: F.when(F.col(c) == "None", None).otherwise(F.col(c)).cast("long")
     return out.select(number("ident").alias("page_id"), F.coalesce("full_bytes", "own_bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", number("refers_to").alias("refers_to"))
 

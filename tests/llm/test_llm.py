@@ -119,12 +119,23 @@ def test_warc(spark):
     pages = spark.createDataFrame([(1, "u", big), (2, "u", big), (3, None, "small"), (4, "u", "small"), (5, "u", None), (6, "u", other)], "page_id long, url string, html string")
     got = {r.ident: (r.record_type, r.refers_to) for r in warc.read_back(warc.archive(pages)).collect()}
     assert got == {"1": ("revisit", "2"), "2": ("response", None), "3": ("response", None), "4": ("response", None), "5": ("response", None), "6": ("response", None)}
+    assert warc.read_back(warc.archive(pages.limit(0))).count() == 0
+
+
+def test_warc_of_repeated_and_missing_identifiers(spark, tmp_path):
+    big, long, lone = "é" * 600, "y" * 3000, "z" * 2000
+    rows = [(4, big), (4, big), (4, long), (1, big), (None, big), (None, lone), (None, lone), (2, long), (9, None)]
+    spark.createDataFrame([(i, "u", t, "x") for i, t in rows], "page_id long, url string, html string, digest string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = collections.Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.op7_warc(spark, str(tmp_path)).collect())
+    assert got == collections.Counter({(4, 1200, "response", None): 2, (4, 3000, "response", None): 1, (1, 1200, "revisit", 4): 1, (None, 1200, "revisit", 4): 1, (None, 2000, "response", None): 2, (2, 3000, "revisit", 4): 1, (9, 0, "response", None): 1})
+
+
+def test_bundles():
     b = warc.Bundle()
     for i in range(300):
         b.add(str(i), warc.record("response", str(i), "u", b"p%d" % i * 99, "d", None))
     raw = b.bytes()
     assert len(b.frames) > 1 and all(warc.read_record(raw, f, o)[1] == b"p%d" % int(i) * 99 for i, f, o, _ in b.index)
-    assert warc.read_back(warc.archive(pages.limit(0))).count() == 0
 
 
 def test_mixing_meets_targets(docs, edge):
