@@ -80,6 +80,30 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return go
 
 
+def tidy_group(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """run for a group of applyInArrow; what it held is given back when it has returned."""
+
+    def go(group: pa.Table) -> pa.Table:
+        try:
+            return run(group)
+        finally:
+            trim()
+
+    return go
+
+
+def tidy_pair(run: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """tidy_group() for two groups."""
+
+    def go(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return run(left, right)
+        finally:
+            trim()
+
+    return go
+
+
 _open: list[str] = []
 
 

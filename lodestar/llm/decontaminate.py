@@ -1,8 +1,12 @@
 """Benchmark decontamination: one Aho-Corasick automaton over normalised test items.
 
 A text is normalised (A-Z lowered, words of letters, digits and non-ASCII
-characters joined by one space), scanned once, and each occurrence of a window
-of item words is mapped back to words, and to offsets of the original text.
+characters), its words become numbers, and these are scanned once. The automaton's
+patterns are segments that tile the items, of half a window's words: each window of
+an item holds a whole one. Where a segment occurs, the text is compared with the item
+to both sides; a run of equal words as long as a window, or longer, is made of
+windows. So the automaton has a node for a word of the items, not one for each word
+of each window. Hit words are mapped to offsets of the original text.
 
 Edge cases: a null or empty text, or one without words, has no hits; an item
 without words has no window; an item of fewer words than a window is one window
@@ -28,8 +32,8 @@ from pyspark.sql import functions as F
 from .common import staged, table, tidy, without
 
 WINDOW = 13
-#: Bytes of item text that one automaton is built over (a node for each character of a window); more items make more automata.
-BLOCK_BYTES = 8 << 20
+#: Bytes of item text that one automaton is built over (some 15 bytes of a worker's memory for each); more items make more automata.
+BLOCK_BYTES = 16 << 20
 
 _CLEAN = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")  # in the original, upper case too
@@ -39,45 +43,57 @@ def normalised(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_CLEAN).split()
 
 
-def windows(items: list[tuple], size: int) -> dict[str, tuple[int, set]]:
-    """Each window as text between spaces: its number of words and its items."""
-    out: dict[str, tuple[int, set]] = {}
-    for item, text in items:
-        words = normalised(text)
-        for i in range(max(1, len(words) - size + 1) if words else 0):
-            part = words[i : i + size]
-            out.setdefault(f" {b' '.join(part).decode()} ", (len(part), set()))[1].add(item)
-    return out
-
-
-def automaton(found: dict[str, tuple[int, set]]) -> ahocorasick.Automaton:
-    a = ahocorasick.Automaton()
-    for w, (n, items) in found.items():
-        a.add_word(w, (n, tuple(items)))
-    if len(a):
-        a.make_automaton()
-    return a
-
-
-def scan(a: ahocorasick.Automaton, text: str | None) -> tuple[int, np.ndarray, set]:
-    """Number of words, hit words (indices), items."""
-    words = normalised(text)
-    if not words or not len(a):
-        return len(words), np.zeros(0, np.int64), set()
-    line = f" {b' '.join(words).decode()} "
-    ends, sizes, items = [], [], set()
-    for e, (n, who) in a.iter(line):
-        ends.append(e)
-        sizes.append(n)
-        items.update(who)
-    if not ends:
-        return len(words), np.zeros(0, np.int64), items
-    gaps = np.flatnonzero(np.frombuffer(line.encode("utf-32-le"), np.uint32) == 32)
-    last = np.searchsorted(gaps, np.array(ends))
-    delta = np.zeros(len(words) + 1, np.int64)
-    np.add.at(delta, last - np.array(sizes), 1)
-    np.add.at(delta, last, -1)
-    return len(words), np.flatnonzero(np.cumsum(delta)[:-1] > 0), items
+class Items:
+    """The items' words as numbers, and one automaton over the segments that tile them."""
+
+    def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
+        self.window, self.names, self.words = window, [], []
+        self.number: dict[bytes, int] = {}
+        for name, text in items:
+            words = tuple(self.number.setdefault(w, len(self.number) + 1) for w in normalised(text))
+            if words:
+                self.names.append(name)
+                self.words.append(words)
+        part = (window + 1) // 2
+        at: dict[tuple[int, ...], list[tuple[int, int]]] = {}
+        for i, words in enumerate(self.words):
+            if len(words) < window:
+                at.setdefault(words, []).append((i, 0))
+            else:
+                for p in range(0, len(words) - part + 1, part):
+                    at.setdefault(words[p : p + part], []).append((i, p))
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for segment, where in at.items():
+            self.automaton.add_word(segment, (len(segment), tuple(where)))
+        if at:
+            self.automaton.make_automaton()
+
+    def scan(self, text: str | None) -> tuple[int, np.ndarray, set]:
+        """Number of words, hit words (indices), items."""
+        found = normalised(text)
+        n, items = len(found), set()
+        if not found or not self.words:
+            return n, np.zeros(0, np.int64), items
+        get = self.number.get
+        ids = tuple([get(w, 0) for w in found])  # 0: a word that no item has
+        delta, seen = np.zeros(n + 1, np.int64), {}
+        for last, (size, where) in self.automaton.iter(ids):
+            first = last - size + 1
+            for i, p in where:
+                words = self.words[i]
+                if seen.get((i, first - p), -1) >= last:  # in a run that was compared
+                    continue
+                lo, hi, q = first, last + 1, p + size
+                while p and lo and ids[lo - 1] == words[p - 1]:
+                    lo, p = lo - 1, p - 1
+                while q < len(words) and hi < n and ids[hi] == words[q]:
+                    hi, q = hi + 1, q + 1
+                seen[i, lo - p] = hi - 1
+                if hi - lo >= min(self.window, len(words)):
+                    items.add(self.names[i])
+                    delta[lo] += 1
+                    delta[hi] -= 1
+        return n, np.flatnonzero(np.cumsum(delta)[:-1] > 0), items
 
 
 def original_spans(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
@@ -89,7 +105,7 @@ def original_spans(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
     return [(spans[r[0]][0], spans[r[-1]][1]) for r in np.split(hit, cut)]
 
 
-_built: dict[str, ahocorasick.Automaton] = {}
+_built: dict[str, Items] = {}
 
 SCHEMA = "n_words long, hit_words array<int>, items array<string>, spans array<struct<start:int,end:int>>"
 
@@ -111,18 +127,18 @@ def hits(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "te
     parts = []
     for b in range(blocks):
         own = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b)
-        sent, name = spark.sparkContext.broadcast(windows([(str(r.item), r.t) for r in own.collect()], window)), uuid.uuid4().hex
+        sent, name = spark.sparkContext.broadcast(sorted((str(r.item), r.t) for r in own.collect())), uuid.uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, name=name) -> Iterator[pa.RecordBatch]:
             if name not in _built:
                 _built.clear()
-                _built[name] = automaton(sent.value)
+                _built[name] = Items(sent.value, window)
             a = _built[name]
             for batch in batches:
                 n_words, hit, items, spans = [], [], [], []
                 for t in batch.column(1):
                     t = t.as_py()
-                    n, h, who = scan(a, t)
+                    n, h, who = a.scan(t)
                     n_words.append(n)
                     hit.append(h)
                     items.append(sorted(who))

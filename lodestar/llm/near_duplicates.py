@@ -36,7 +36,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, bounded_broadcast, counted, flat, free, mix, pack, scratch, shard_bounds, shards, shingle_hashes, slices, staged, table, tidy, trim, unpack, without, word_hashes, word_spans
+from .common import LOWER, bounded_broadcast, counted, flat, free, mix, pack, scratch, shard_bounds, shards, shingle_hashes, slices, staged, table, tidy, tidy_group, unpack, without, word_hashes, word_spans
 from .components import components
 
 K = 5
@@ -170,7 +170,7 @@ def heavy_tokens(docs: DataFrame, text: str, k: int) -> DataFrame:
         return pa.table({"keys": pa.array([keys[big].tobytes()], pa.binary()), "df": pa.array([c[big].astype("<u4").tobytes()], pa.binary()), "levels": pa.array([[int((c > (HEAVY_FROM << i)).sum()) for i in range(24)]], pa.list_(pa.int64()))})
 
     dealt = docs.select(F.lit(0).alias("key"), text).mapInArrow(tidy(run), "shard int, keys binary, c0 binary")
-    return dealt.groupBy("shard").applyInArrow(add, "keys binary, df binary, levels array<long>")
+    return dealt.groupBy("shard").applyInArrow(tidy_group(add), "keys binary, df binary, levels array<long>")
 
 
 def _heavy_list(found: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
@@ -268,7 +268,6 @@ def lists(dealt: DataFrame) -> DataFrame:
     """
 
     def scan(group: pa.Table) -> pa.Table:
-        trim()  # what the shard before left
         keys = np.concatenate([unpack(v.as_py()) for v in group.column("keys")])
         node = np.concatenate([_unplanes(v.as_py(), "<i8") for v in group.column("c0")])
         size = np.concatenate([_unplanes(v.as_py(), "<u4") for v in group.column("c1")]).astype(np.int64)
@@ -322,7 +321,7 @@ def lists(dealt: DataFrame) -> DataFrame:
             }
         )
 
-    return dealt.groupBy("shard").applyInArrow(scan, "kind int, x long, y long, nx long, ny long, hits long, follow long")
+    return dealt.groupBy("shard").applyInArrow(tidy_group(scan), "kind int, x long, y long, nx long, ny long, hits long, follow long")
 
 
 def verified(pairs: DataFrame, pool: DataFrame, text: str, k: int) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, counted, flat, pack, scratch, shards, slices, staged, table, tidy, trim, unpack, without
+from .common import bounded_broadcast, counted, flat, pack, scratch, shards, slices, staged, table, tidy, tidy_pair, unpack, without
 
 ORDER = 4
 #: Bytes of text of a block of documents (a longer document is a block of its own).
@@ -276,11 +276,10 @@ def scores(docs: DataFrame, m: DataFrame) -> DataFrame:
                 end = 0
                 for r, i, a in asked:
                     out[r][i], end = value[end : end + len(a)].tobytes(), end + len(a)
-        trim()
         return pa.Table.from_arrays([group.column("shard"), group.column("block"), group.column("langs"), pa.array(out, pa.list_(pa.binary()))], names=["shard", "block", "langs", "values"])
 
     asked = read.mapInArrow(tidy(ask), "shard int, block long, langs array<string>, grams array<binary>")
-    values = asked.groupBy("shard").cogroup(_sharded(m, n).groupBy("of")).applyInArrow(tell, "shard int, block long, langs array<string>, values array<binary>")
+    values = asked.groupBy("shard").cogroup(_sharded(m, n).groupBy("of")).applyInArrow(tidy_pair(tell), "shard int, block long, langs array<string>, values array<binary>")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows in _blocks(batches):
@@ -324,11 +323,10 @@ def scores(docs: DataFrame, m: DataFrame) -> DataFrame:
                             logprob[i, own] = total[end] - total[end - n_]
                 logprob[:, n_tokens == 0] = 0
                 out.append(pa.RecordBatch.from_arrays([rows.column(0), pa.array(n_tokens), *(pa.array(p, pa.float64(), mask=np.isnan(p)) for p in logprob)], names=schema.names))
-        trim()
         return pa.Table.from_batches(out)
 
     texts = read.mapInArrow(tidy(send), "block long, payload binary")
-    return texts.groupBy("block").cogroup(values.select(F.col("block").alias("of"), "shard", "langs", "values").groupBy("of")).applyInArrow(score, schema)
+    return texts.groupBy("block").cogroup(values.select(F.col("block").alias("of"), "shard", "langs", "values").groupBy("of")).applyInArrow(tidy_pair(score), schema)
 
 
 def limits(steps: DataFrame) -> tuple[DataFrame, int | None]:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.llm import language_model, pii, toxicity
+from lodestar.llm import decontaminate, language_model, pii, toxicity
 from lodestar.llm.registry import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -106,6 +106,25 @@ def test_toxicity_of_held_out_labels(spark, sf):
     assert got[got.toxic == 1].score.mean() > 5 * got[got.toxic == 0].score.mean()
 
 
+def test_one_scan_finds_all_windows():
+    rng = np.random.default_rng(4)
+    draw = lambda kinds, n: " ".join(rng.choice(list("abcdefg"[:kinds]), int(n)))
+    for _ in range(300):
+        window, kinds = int(rng.choice([1, 2, 3, 4, 5, 13])), int(rng.choice([2, 3, 6]))
+        items = [(str(i), draw(kinds, rng.integers(0, 30))) for i in range(int(rng.integers(1, 6)))]
+        words = draw(kinds + 1, rng.integers(0, 80)).split()
+        hit, have = set(), set()
+        for name, t in items:
+            x = t.split()
+            k = min(window, len(x))
+            for i, j in itertools.product(range(len(x) - k + 1 if x else 0), range(len(words) - k + 1)):
+                if words[j : j + k] == x[i : i + k]:
+                    hit |= set(range(j, j + k))
+                    have.add(name)
+        n, got, who = decontaminate.Items(items, window).scan(" ".join(words))
+        assert (n, got.tolist(), who) == (len(words), sorted(hit), have)
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_operators_match_duckdb(spark, sf, name):
     con = duckdb.connect()
