@@ -365,12 +365,3 @@ def test_language_model_keeps_all_pairs_and_triples(spark, edge, docs):
     assert language_model.sharded_scores(edge, train, words_of(edge)).count() == len(EDGE)
     train = F.lit(False)
     assert {r.score for r in language_model.sharded_scores(edge, train, words_of(edge)).collect()} == {0.0} and language_model.sharded_scores(edge.limit(0), train, words_of(edge)).count() == 0
-
-
-def test_pipeline(spark, sf):
-    import corpus_pipeline
-
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    assert [s[0] for s in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontaminate", "personal_data", "mixing"]
-    got = corpus_pipeline.run(spark, sf)
-    assert set(docs.columns) <= set(got.columns) and 0 < got.count() < docs.count()
