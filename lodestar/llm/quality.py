@@ -44,7 +44,7 @@ LABEL_ROWS = 1 << 20
 FOLDS, QUANTILE, ROOM = 5, 0.995, 1.02
 #: Steps of log10 perplexity by which quantiles are counted.
 STEP = 1e-4
-_GATHER = 1 << 20
+_GATHER = 1 << 21
 
 
 def grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,8 +99,8 @@ def counts(docs: DataFrame) -> DataFrame:
                 if name in held:
                     k, c = counted(np.concatenate([held[name][0], k]), np.concatenate([held[name][1], c]))
                 held[name] = (k, c)
-                if len(k) > _GATHER:
-                    yield out(name)
+                while sum(len(v[0]) for v in held.values()) > _GATHER:  # of all languages and parts together
+                    yield out(max(held, key=lambda x: len(held[x][0])))
         for name in list(held):
             yield out(name)
 
