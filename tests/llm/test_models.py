@@ -59,6 +59,43 @@ def test_scores_equal_a_model_of_dictionaries(spark):
     assert sorted((str(r.doc_id), round(r.score, 6)) for r in got) == sorted((str(i), round(score(t), 6)) for i, t in rows)
 
 
+def test_a_sharded_trie_scores_beyond_the_vocabulary(spark, monkeypatch, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{x}" for x in rng.zipf(1.4, int(rng.integers(0, 60))) % 500)) for i in range(120)] + [(7, "w1 W2 new"), (None, "w1 w2"), (200, None), (201, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda: sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 9), round(r.score, 9)) for r in language_model.op4_language_model(spark, str(tmp_path)).collect())
+    want = run()
+    monkeypatch.setattr(language_model, "VOCABULARY", 0)
+    monkeypatch.setattr(language_model, "joined_scores", None)  # no path without a trie
+    monkeypatch.setattr(language_model, "SLICE", 1000)
+    assert run() == want and len(want) == len(rows)
+
+
+def test_a_branch_finds_its_pairs_and_triples_alone():
+    rng = np.random.default_rng(4)
+    words, n = 40, 9  # 40 and 41: an unknown word, and none
+    c = collections.Counter(zip(rng.integers(0, n, 600).tolist(), rng.choice([*range(12), 41], 600).tolist(), (rng.zipf(1.5, 600) % words).tolist(), strict=True))
+    grams = np.array(sorted(c), np.uint64).T
+    a = language_model.branch(*grams, np.array([c[g] for g in sorted(c)]), n, words)
+    trie = language_model.Branch(language_model.load(np.frombuffer(language_model.save(a), np.uint8)))
+    one, two, context = collections.Counter(), collections.Counter(), collections.Counter()
+    for (v, u, w), k in c.items():
+        one[v] += k
+        two[v, w] += k
+        context[v, u] += k * (u < words)
+    rest = lambda p: quantised(max(1 - sum(p), 1e-9))
+    p2 = {g: quantised((k - 0.75) / one[g[0]]) for g, k in two.items()}
+    p3 = {g: quantised((k - 0.75) / context[g[:2]]) for g, k in c.items() if g[1] < words}
+    every = list(itertools.product(range(n), [*range(14), 40, 41], range(words + 1)))
+    v, u = np.array(list(dict.fromkeys(g[:2] for g in every)), np.uint64).T
+    own, w = np.repeat(np.arange(len(v)), words + 1), np.array([g[2] for g in every], np.uint64)
+    r2 = {x: rest([p for g, p in p2.items() if g[0] == x]) for x in range(n)}
+    r3 = {x: rest([p for g, p in p3.items() if g[:2] == x]) for x in context if context[x]}
+    want = [p3.get((a, b, d), 0) + r3.get((a, b), 1) * (p2.get((a, d), 0) + r2[a] * 0.01) for a, b, d in every]
+    assert np.allclose(trie.probability(v, u, own, w, np.full(len(w), 0.01)), want, rtol=1e-12)
+    assert trie.level["pairs"].n == len(p2) and trie.level["triples"].n == len(p3)
+
+
 def enumerated(s):
     out = collections.Counter()
     for i, j, k in itertools.combinations(range(len(s)), 3):
