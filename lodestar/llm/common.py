@@ -108,7 +108,7 @@ _open: list[str] = []
 
 
 @contextlib.contextmanager
-def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+def scratch(spark: SparkSession) -> Iterator[Callable[..., DataFrame]]:
     """Tables that staged() writes inside are removed at the end, but those written by the function that it gives.
 
     What leaves the block must therefore be such a kept table, or be read by nothing later.
@@ -117,8 +117,8 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFram
     outer = _open[-1] if _open else None
     _open.append(folder)
 
-    def kept(df: DataFrame, name: str) -> DataFrame:
-        return _write(df, f"{outer if outer else shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    def kept(df: DataFrame, name: str, small: bool = False) -> DataFrame:
+        return _write(df, f"{outer if outer else shared_dir(spark)}/{name}-{uuid.uuid4().hex}", small)
 
     try:
         yield kept
@@ -128,15 +128,30 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFram
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def _write(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
-    trim_jvm(df.sparkSession)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Spark then removes the shuffle files of a query as it ends, not when the driver next collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back, which cuts its lineage; inside scratch() it goes with the rest."""
-    return _write(df, f"{_open[-1] if _open else shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
+def _write(df: DataFrame, path: str, small: bool = False) -> DataFrame:
+    spark = df.sparkSession
+    before = spark.conf.get(_CLEANUP, None)
+    try:
+        if small:
+            spark.conf.set(_CLEANUP, "true")
+        (df.write.option("compression", "zstd") if small else df.write).parquet(path)
+    finally:
+        if small:
+            spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    trim_jvm(spark)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def staged(df: DataFrame, name: str, small: bool = False) -> DataFrame:
+    """Writes df to the shared folder and reads it back, which cuts its lineage; inside scratch() it goes with the rest.
+
+    small: takes less disk, as zstd and without the shuffle files that the write made.
+    """
+    return _write(df, f"{_open[-1] if _open else shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}", small)
 
 
 #: Bytes of input, as Spark estimates them, that one shard of packed arrays is made of at most.

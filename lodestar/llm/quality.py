@@ -25,7 +25,7 @@ names. Characters over U+FFFB count as one symbol.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -112,12 +112,12 @@ def model(docs: DataFrame) -> DataFrame:
 
     n = 0 of kind 'p' is the even share of a symbol, one that wasn't seen included.
     """
-    return model_of(staged(counts(docs), "grams"))
+    return model_of(staged(counts(docs), "grams", small=True))
 
 
-def model_of(level: DataFrame) -> DataFrame:
-    """model() of the counts of ORDER-grams (lang, g, c)."""
-    parts, lower = [], None
+def model_of(level: DataFrame, keep: Callable[..., DataFrame] = staged) -> DataFrame:
+    """model() of the counts of ORDER-grams (lang, g, c). keep: writes its tables, each once."""
+    parts, weights, lower = [], [], None
     tables = {ORDER: level}
     for n in range(ORDER - 1, 0, -1):
         tables[n] = tables[n + 1].groupBy("lang", F.col("g").bitwiseAND((1 << 16 * n) - 1).alias("g")).agg(F.count(F.lit(1)).alias("c"))
@@ -136,14 +136,14 @@ def model_of(level: DataFrame) -> DataFrame:
         own = (F.col("c") - F.col("d")) / F.col("total")
         if n == 1:
             p = j.select("lang", "g", (own + F.col("b") / (F.col("kinds") + 1)).alias("v"))
-            parts.append(c2.select(F.col("lang_").alias("lang"), F.lit("p").alias("kind"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("g"), (1 / (F.col("kinds") + 1)).alias("v")))
+            weights.append(c2.select(F.col("lang_").alias("lang"), F.lit("p").alias("kind"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("g"), (1 / (F.col("kinds") + 1)).alias("v")))
         else:
             low = lower.select(F.col("lang").alias("lang_"), F.col("g").alias("g_"), F.col("v").alias("low"))
             p = j.join(low, F.col("lang").eqNullSafe(F.col("lang_")) & (F.col("g").bitwiseAND((1 << 16 * (n - 1)) - 1) == F.col("g_"))).select("lang", "g", (own + F.col("b") * F.col("low")).alias("v"))
-        parts.append(c2.select(F.col("lang_").alias("lang"), F.lit("b").alias("kind"), F.lit(n - 1).alias("n"), F.col("ctx_").alias("g"), F.col("b").alias("v")))
-        lower = staged(p, f"p{n}")
+        weights.append(c2.select(F.col("lang_").alias("lang"), F.lit("b").alias("kind"), F.lit(n - 1).alias("n"), F.col("ctx_").alias("g"), F.col("b").alias("v")))
+        lower = keep(p, f"p{n}", small=True)
         parts.append(lower.select("lang", F.lit("p").alias("kind"), F.lit(n).alias("n"), "g", "v"))
-    return staged(reduce(DataFrame.union, parts), "kneser-ney")
+    return reduce(DataFrame.union, [*parts, keep(reduce(DataFrame.union, weights), "weights", small=True)])
 
 
 #: Multipliers of the shard's two symbols; products stay far under 63 bits.
@@ -354,12 +354,13 @@ def _judged(base: DataFrame) -> DataFrame:
     each = counts(own.select("key", tag(F.col("fold")).alias("lang"), "text")).select(F.substring("lang", 1, 1).cast("int").alias("fold"), bare, "g", "c")
     parts = F.explode(F.filter(F.array(*map(F.lit, range(FOLDS + 1))), lambda i: i != F.col("fold")))
     every = each.select("lang", "g", "c", parts.alias("without")).groupBy(tag(F.col("without")).alias("lang"), "g").agg(F.sum("c").alias("c"))
-    m = model_of(staged(every, "grams"))
+    with scratch(base.sparkSession) as kept:  # the counts go before texts are scored
+        m = model_of(staged(every, "grams", small=True), kept)
     # each row by the model of all parts, and a trusted one aside by the model without its part
     models = base.select(F.struct("key", "lang", "trusted").alias("key"), tag(F.lit(FOLDS)).alias("all"), F.when(F.col("trusted"), tag(F.pmod(F.xxhash64("key", "text"), F.lit(FOLDS)).cast("int"))).otherwise(tag(F.lit(FOLDS))).alias("part"), "text")
     perplexity = lambda p: F.when(F.col("n_tokens") == 0, 1.0).otherwise(F.pow(F.lit(10.0), -F.col(p) / F.col("n_tokens")))
     got = scores(models, m).select("key.*", "n_tokens", F.col("logprob_all").alias("logprob"), perplexity("logprob_all").alias("perplexity"), perplexity("logprob_part").alias("aside"))
-    got = staged(got, "scores")
+    got = staged(got, "scores", small=True)
     # quantiles by counts of small steps, which add up over tasks in any order
     steps = got.where("trusted AND n_tokens > 0 AND aside IS NOT NULL").groupBy("lang", F.floor(F.log10("aside") / STEP).cast("long").alias("step")).agg(F.count(F.lit(1)).alias("c"))
     limit, pooled = limits(staged(steps, "steps"))
