@@ -36,7 +36,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, bounded_broadcast, counted, flat, free, mix, pack, scratch, shard_bounds, shards, shingle_hashes, slices, staged, table, tidy, tidy_group, unpack, without, word_hashes, word_spans
+from . import common
+from .common import LOWER, bounded_broadcast, counted, flat, free, mix, pack, scratch, shard_bounds, shards, shingle_hashes, slices, table, tidy, tidy_group, unpack, without, word_hashes, word_spans
 from .components import components
 
 K = 5
@@ -61,6 +62,11 @@ GATHER = 1 << 20
 _SUB = np.uint64(0xD1342543DE82EF95)
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df written and read back on little disk, as dozens of tables and their shuffle files would add up."""
+    return common.staged(df, name, small=True)
+
+
 def least_overlap(n: int) -> int:
     """What a set of n tokens must share with any set that it links with."""
     return -(-NUM * n // DEN)
@@ -410,32 +416,33 @@ def _components(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
     links = check(first.union(star))
     turn, last = 0, False
     while True:
-        comp = staged(components(links), "components")
-        label = lambda df, c, comp=comp: df.join(comp.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}")), c, "left").withColumn(f"c{c}", F.coalesce(f"c{c}", F.col(c)))
-        members = staged(label(long, "node").withColumnRenamed("cnode", "comp"), "members")
-        # only lists whose members are in several components can still link
-        open_ = of_lists(members.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("gid", "m"))
-        left = staged(members.join(open_, "gid"), "open")
-        if not last:
-            # one member of each list, another each turn, draws in those near it: a large group of copies needs no pairs
-            draw = F.min(F.struct(F.xxhash64("node", "gid", F.lit(turn)), "node", "n", "follow", "comp")).alias("p")
-            pivot = of_lists(left.groupBy("gid").agg(draw).select("gid", F.col("p.node").alias("x"), F.col("p.n").alias("nx"), F.col("p.follow").alias("fx"), F.col("p.comp").alias("cx")))
-            new = check(left.join(pivot, "gid").where((F.col("comp") != F.col("cx")) & fits).select(F.least("x", "node").alias("x"), F.greatest("x", "node").alias("y")))
-        else:
-            rest = label(label(pairs, "x"), "y").where("cx <> cy").select("x", "y")
-            # blocks of a list's members: the one side is dealt to them, the other is copied to each
-            n_blocks = F.ceil(F.col("m") / F.lit(MEMBERS)).cast("int")
-            a, b = (left.select("gid", "m", F.col("node").alias(c), F.col("follow").alias(f"f{c}"), F.col("comp").alias(f"c{c}")).join(side(c), c) for c in "xy")
-            a = a.withColumn("block", F.pmod(F.xxhash64("x"), n_blocks).cast("int")).drop("m")
-            b = b.withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1))).drop("m")
-            across = a.join(b, ["gid", "block"]).where((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & (DEN * F.col("nx") >= NUM * F.col("ny")) & (DEN * F.col("ny") >= NUM * F.col("nx")) & (9 * F.least("fx", "fy") >= 4 * (F.col("nx") + F.col("ny"))) & close("x", "y")).select("x", "y")
-            new = check(rest.union(across), True)
-        links = staged(links.union(new), "links")
-        if last:
-            break
-        turn += 1
-        last = turn == TURNS or new.count() <= left.count() // 100
-    comp = staged(components(links), "components")
+        with scratch(docs.sparkSession) as kept:  # of a turn only its links stay
+            comp = components(links)
+            label = lambda df, c, comp=comp: df.join(comp.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}")), c, "left").withColumn(f"c{c}", F.coalesce(f"c{c}", F.col(c)))
+            members = staged(label(long, "node").withColumnRenamed("cnode", "comp"), "members")
+            # only lists whose members are in several components can still link
+            open_ = of_lists(members.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("gid", "m"))
+            left = staged(members.join(open_, "gid"), "open")
+            if not last:
+                # one member of each list, another each turn, draws in those near it: a large group of copies needs no pairs
+                draw = F.min(F.struct(F.xxhash64("node", "gid", F.lit(turn)), "node", "n", "follow", "comp")).alias("p")
+                pivot = of_lists(left.groupBy("gid").agg(draw).select("gid", F.col("p.node").alias("x"), F.col("p.n").alias("nx"), F.col("p.follow").alias("fx"), F.col("p.comp").alias("cx")))
+                new = check(left.join(pivot, "gid").where((F.col("comp") != F.col("cx")) & fits).select(F.least("x", "node").alias("x"), F.greatest("x", "node").alias("y")))
+            else:
+                rest = label(label(pairs, "x"), "y").where("cx <> cy").select("x", "y")
+                # blocks of a list's members: the one side is dealt to them, the other is copied to each
+                n_blocks = F.ceil(F.col("m") / F.lit(MEMBERS)).cast("int")
+                a, b = (left.select("gid", "m", F.col("node").alias(c), F.col("follow").alias(f"f{c}"), F.col("comp").alias(f"c{c}")).join(side(c), c) for c in "xy")
+                a = a.withColumn("block", F.pmod(F.xxhash64("x"), n_blocks).cast("int")).drop("m")
+                b = b.withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1))).drop("m")
+                across = a.join(b, ["gid", "block"]).where((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & (DEN * F.col("nx") >= NUM * F.col("ny")) & (DEN * F.col("ny") >= NUM * F.col("nx")) & (9 * F.least("fx", "fy") >= 4 * (F.col("nx") + F.col("ny"))) & close("x", "y")).select("x", "y")
+                new = check(rest.union(across), True)
+            links = kept(links.union(new), "links", small=True)
+            if last:
+                break
+            turn += 1
+            last = turn == TURNS or new.count() <= left.count() // 100
+    comp = components(links)
     return known.select("key", "text_digest", "n", "node").join(comp, "node", "left").select("key", "text_digest", "n", F.coalesce("comp", "node").alias("comp"))
 
 
@@ -444,7 +451,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     with scratch(docs.sparkSession) as kept:
         named = staged(_components(docs, key, text, k), "named")
         least_key = named.where("comp IS NOT NULL").groupBy("comp").agg(F.min("key").alias("first"))
-        return kept(named.join(least_key, "comp", "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("first", "key").alias("component_id")), "near-duplicates")
+        return kept(named.join(least_key, "comp", "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("first", "key").alias("component_id")), "near-duplicates", small=True)
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K) -> DataFrame:
@@ -456,7 +463,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
         named = staged(_components(docs, key, text, k).where("comp IS NOT NULL"), "named")
         best = named.groupBy("comp").agg(F.min(F.struct(F.col("key").isNull(), "key", "text_digest")).alias("best"))
         gone = named.join(best, "comp").where(~(F.col("key").eqNullSafe(F.col("best.key")) & (F.col("text_digest") == F.col("best.text_digest"))))
-        drop = kept(gone.select("key", F.col("text_digest").alias("digest")).distinct(), "dropped")
+        drop = kept(gone.select("key", F.col("text_digest").alias("digest")).distinct(), "dropped", small=True)
         again = named.groupBy("key", "text_digest").count().where("count > 1").limit(1).count()
     out = without(docs, drop, docs[key], F.xxhash64(docs[text]))
     if not again:

@@ -6,12 +6,13 @@ import math
 import re
 import struct
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.llm import components, decontaminate, eliasfano, language_model, mixing, near_duplicates, pii, quality, tiff, token_counts, toxicity, warc
+from lodestar.llm import common, components, decontaminate, eliasfano, language_model, mixing, near_duplicates, pii, quality, tiff, token_counts, toxicity, warc
 from lodestar.llm.registry import QUERIES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -226,6 +227,39 @@ def test_components(spark):
     assert components.components(chain.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("most", "times", "steps"), [(1 << 18, 1, False), (1024, 40, False), (4, 1, True)])
+def test_components_by_forests_and_by_steps(spark, monkeypatch, most, times, steps):
+    monkeypatch.setattr(components, "TASK_LINKS", most)
+    called, large = [], components._large
+    monkeypatch.setattr(components, "_large", lambda e: called.append(1) or large(e))
+    rng = np.random.default_rng(5)
+    links = [(int(x), int(y)) for x, y in rng.integers(-90, 90, (110, 2))] + [(1000 + i, 1001 + i) for i in range(30)]
+    want = {n: n for link in links for n in link if link[0] != link[1]}
+    for _ in want:
+        for x, y in links:
+            if x != y:
+                want[x] = want[y] = min(want[x], want[y])
+    with common.scratch(spark):
+        got = components.components(spark.createDataFrame(links * times, "x long, y long").repartition(5))
+        assert sorted(map(tuple, got.collect())) == sorted(want.items())
+        assert [p.name.split("-")[0] for p in Path(common._open[-1].removeprefix("file://")).iterdir()] == ["components"]  # the steps' tables are gone
+    assert bool(called) == steps  # those between all tasks are for links that don't shrink to what fits one
+
+
+def test_near_duplicates_leave_no_turns_on_disk(spark, monkeypatch):
+    tables, own = [], near_duplicates.components
+
+    def seen(links):
+        tables.append({p.name.split("-")[0] for p in Path(common._open[0].removeprefix("file://")).iterdir()})
+        return own(links)
+
+    monkeypatch.setattr(near_duplicates, "components", seen)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(k, " ".join(base + [f"t{k % 7}x{i}" for i in range(4 + k % 20)])) for k in range(60)]
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()} == brute_components(rows)
+    assert len(tables) > 2 and not set().union(*tables) & {"components", "members", "open"} and "links" in tables[-1]
+
+
 def test_decontamination(spark, edge):
     clean = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     item = " ".join(f"B{i}" for i in range(20))
